@@ -1 +1 @@
-
+"""Column functions over sequences, segments and alignments."""

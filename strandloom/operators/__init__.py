@@ -1 +1 @@
-
+"""Operators over tables of reads, k-mers, vertices, edges and paths."""
