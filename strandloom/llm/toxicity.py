@@ -130,7 +130,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, usable: Column, max_trai
 
     rows = project(docs, "doc_id", "text").join(sample, "doc_id").select("doc_id", "label", "text")
     encoded = rows.mapInArrow(encode, "doc_id long, label int, features binary")
-    (r,) = encoded.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "features").mapInArrow(learn, "at binary, w binary, bias double").collect()
+    found = encoded.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "features").mapInArrow(learn, "at binary, w binary, bias double").collect()
+    if not found:  # no labelled document, no task
+        return ftrl([], [])
+    r = found[0]
     return ToxicityModel(np.frombuffer(bytes(r["at"]), np.int64), np.frombuffer(bytes(r["w"]), np.float64), r["bias"])
 
 
