@@ -3,9 +3,8 @@
 Texts are sequences of lower-cased words (runs of letters and digits). A seed is
 a fixed mask over neighbouring words that ignores some positions; equal masked
 words of a benchmark item and a document give a hit and with it an alignment. An
-alignment overlaps if some window of ``window`` words (the whole item if that is
-shorter) agrees in all but a fifth of its words (all but one in windows of less
-than ten). The masks are such that every window that passes holds a hit, so the
+alignment overlaps if some window of ``WINDOW`` words agrees in all but two of them,
+or, with an item shorter than that, a window of the item's length in all but one. The masks are such that every window that passes holds a hit, so the
 result is what trying all alignments would give.
 
 The documents are read once for each block of the benchmark, without a shuffle;
@@ -44,7 +43,7 @@ OVERLAP = "array<struct<item_id:bigint,n_words:bigint,n_equal:bigint,doc_from:bi
 
 def allowed(width: int) -> int:
     """Substitutions that a window of so many words may have."""
-    return width // 5 if width >= 10 else 1
+    return 2 if width >= WINDOW else 1
 
 
 def text_words(col: pa.Array) -> K.Spans:
