@@ -76,9 +76,9 @@ def _segment() -> Column:
 
 def _entropy(c: Column) -> Column:
     """Shannon entropy of the characters, in bits: -sum over distinct characters."""
-    n = F.length(c).cast("double")
+    n = F.greatest(F.length(c), F.lit(1)).cast("double")
     chars = F.array_distinct(F.split(c, ""))
-    share = F.transform(chars, lambda x: (n - F.length(F.replace(c, x, F.lit("")))) / n)
+    share = F.transform(chars, lambda x: (F.length(c) - F.length(F.replace(c, x, F.lit("")))) / n)
     return F.aggregate(F.filter(share, lambda p: p > 0), F.lit(0.0), lambda a, p: a - p * F.log2(p))
 
 
