@@ -23,7 +23,8 @@ ignored.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable, Iterator, Mapping
+import re
+from collections.abc import Callable, Iterable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from strandloom.llm.common import project
 from strandloom.plans import scratch
 
 CAPACITY, UNIT, END_ID = 2048, 32, 1
-#: Words whose ids a worker remembers at most.
+#: Words, and runs of letters, whose ids a worker remembers: twice as many of each at most.
 MEMORY_WORDS = 300_000
 _PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary, task int, local long"
 
@@ -135,33 +136,76 @@ def plan(histogram: Mapping[int, int], capacity: int = CAPACITY) -> np.ndarray:
 # --- tokens and pieces ----------------------------------------------------------------------------
 
 
-class WordIds(dict):
-    """Bytes of the ids (little-endian, 32 bits) of white-space separated words, by a bounded memory.
+class _Memory(dict):
+    """What a function gave, for about the last ``size`` to ``2 * size`` different keys."""
 
-    The tokenizer cuts at all white space and looks at nothing beyond it, so a
-    text's ids are those of its words, one after the other.
+    def __init__(self, make: Callable[[str], bytes], size: int) -> None:
+        super().__init__()
+        self.make, self.size, self.older = make, size, {}
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.older.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(self) >= self.size:
+            self.older = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
+
+class WordIds:
+    """Ids (little-endian, 32 bits) of texts, put together from remembered words and runs.
+
+    The tokenizer cuts at white space, then into runs of letters, single digits and
+    runs of other signs, and looks at nothing beyond a run; so a text's ids are those
+    of its words, and a word's those of its runs. Words of plain letters and signs
+    are taken apart here and only new runs meet the merge table; any other word goes
+    through the whole tokenizer.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.words, self.runs = _Memory(self._word, MEMORY_WORDS), _Memory(self._run, MEMORY_WORDS)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _word(self, word: str) -> bytes:
+        if not _PLAIN.fullmatch(word):
+            return self._whole(word)
+        return b"".join(map(self.runs.__getitem__, _RUN.findall(word.lower())))
+
+    def _run(self, run: str) -> bytes:
+        # the table spells a byte from 33 to 126 as itself, and the two bytes of a letter from U+00C0 to U+00FF so:
+        spelt = run if run.isascii() else "".join(c if c < "\x7f" else "\u00c3" + _HIGH[ord(c)] for c in run)
+        return np.array([t.id for t in self.model.tokenize(spelt)], "<u4").tobytes()
 
     def of_text(self, text: str) -> bytes:
-        if not text.isprintable() and any(c in text for c in "\x1c\x1d\x1e\x1f") or "<|" in text:
-            # controls that Python takes for white space and the tokenizer doesn't; special tokens may hold white space
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        found = text.split()
-        missing = [w for w in dict.fromkeys(found) if w not in self]
-        if missing:
-            if len(self) > MEMORY_WORDS:
-                self.clear()
-                missing = list(dict.fromkeys(found))
-            for w, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
-                self[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, found))
+        if "<|" in text or any(c in text for c in _SEPARATED):
+            # special tokens may hold white space; Python splits at controls that the tokenizer doesn't
+            return self._whole(text)
+        return b"".join(map(self.words.__getitem__, text.split()))
+
+
+#: Words of ASCII signs and letters (no apostrophe, which has rules of its own) and letters from U+00C0 to U+00FF.
+_PLAIN = re.compile("[!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_RUN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+#: Byte-level spelling of the second byte of U+00DF to U+00FF: bytes 0x9F to 0xBF; those that do not print move up to U+0100 and on.
+_HIGH = {c: chr(b if b >= 0xA1 and b != 0xAD else 0x100 + 33 + (b - 0x7F) if b <= 0xA0 else 0x143) for c in range(0xDF, 0x100) for b in (c - 0x40,)}
+_SEPARATED = "\x1c\x1d\x1e\x1f"
+_tokenizers: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """The worker's own instance: what it remembers serves its later tasks too."""
+    if path not in _tokenizers:
+        _tokenizers[path] = WordIds(path)
+    return _tokenizers[path]
 
 
 def cut_points(n: int, capacity: int = CAPACITY, unit: int = UNIT) -> list[int]:
@@ -174,7 +218,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, unit:
     """The pieces of all documents with their ids (binary, little-endian 32 bits), numbered by task and length."""
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, end = WordIds(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        ids_of, end = word_ids(tokenizer_path), np.array([end_id], "<u4").tobytes()
         task, counts = TaskContext.get().partitionId(), dict[int, int]()
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
