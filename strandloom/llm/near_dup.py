@@ -14,9 +14,12 @@ representative into the search. Representatives that agree in all registers of a
 band share a bucket. Buckets are worked off by hubs: the member that shares most
 buckets is compared with all others, links join classes, and in a bucket that
 still spans classes the most popular member outside the first hub's class is the
-next hub. What still spans classes after ``HUB_ROUNDS`` rounds is compared pair by
-pair, so every pair of a bucket is either compared or already in one class; large
-groups cost a comparison a member. A comparison is the exact Jaccard similarity of the shingle
+next hub. Of what still spans classes after ``HUB_ROUNDS`` rounds, all pairs that
+can be similar are compared. A pair cannot if its sizes or maps rule it out: a map
+has a bit for each shingle's hash, so a bit that only one side has is a shingle
+that the other lacks, and counting those bounds the similarity from above. So every
+pair of a bucket is compared, ruled out or in one class already, and a large group
+of variants costs about a comparison a member. A comparison is the exact Jaccard similarity of the shingle
 sets (32-bit hashes), at ``threshold`` = 4/5 or more.
 
 Buckets, pairs and classes are DataFrames; the driver sees counts only. Shuffles
@@ -49,7 +52,9 @@ HUB_ROUNDS = 2
 MAX_SENT_BYTES = 32 << 20
 _SLICE = 1 << 20
 _STEP = 0xA0761D6478BD642F
-_SIGNED = "doc_id long, copy_hi long, copy_lo long, n long, bands array<long>, shingles binary"
+#: 64-bit words of the map of a document's shingles that bounds similarities from above.
+MAP_WORDS = 16
+_SIGNED = "doc_id long, copy_hi long, copy_lo long, n long, bands array<long>, map array<long>, shingles binary"
 
 
 def shingle_sets(spans: K.Spans, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,10 +125,13 @@ def signatures(docs: DataFrame) -> DataFrame:
                 keys = band_keys(prob_minhash(row, h, count.astype(float), n, BANDS * ROWS))
                 cut = np.searchsorted(row, np.arange(n + 1))
                 sets = [np.unique((h[cut[i] : cut[i + 1]] >> np.uint64(32)).astype(np.uint32)) for i in range(n)]
+                held = np.zeros((n, 64 * MAP_WORDS), bool)
+                held[row, (h >> np.uint64(32)).astype(np.int64) % (64 * MAP_WORDS)] = True
+                maps = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * MAP_WORDS), pa.array(np.packbits(held, axis=1).view(np.int64).reshape(-1)))
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(K.signed(keys.reshape(-1))))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *prints, pa.array([len(s) for s in sets], pa.int64()), bands, pa.array([s.tobytes() for s in sets], pa.binary())],
-                    names=["doc_id", "copy_hi", "copy_lo", "n", "bands", "shingles"],
+                    [part.column(0), *prints, pa.array([len(s) for s in sets], pa.int64()), bands, maps, pa.array([s.tobytes() for s in sets], pa.binary())],
+                    names=["doc_id", "copy_hi", "copy_lo", "n", "bands", "map", "shingles"],
                 )
 
     return project(docs, "doc_id", "text").filter("doc_id IS NOT NULL").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(scan, _SIGNED)
@@ -160,6 +168,12 @@ def _possible(threshold: tuple[int, int]):
     return F.least("n", "hub.n") * threshold[1] >= F.greatest("n", "hub.n") * threshold[0]
 
 
+def _map_allows(threshold: tuple[int, int]):
+    """The maps leave enough common shingles: at most those of one side without the bits that only it has."""
+    alone = sum((F.bit_count(F.col(f"m{i}").bitwiseAND(F.bitwise_not(f"h{i}"))) for i in range(MAP_WORDS)), F.lit(0))
+    return (F.col("n") - alone) * (threshold[0] + threshold[1]) >= (F.col("n") + F.col("hub.n")) * threshold[0]
+
+
 def classes(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of its class): one row for each document."""
     signed = scratch.cut(signatures(docs), "signatures")
@@ -173,7 +187,7 @@ def classes(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, hub_rounds:
     # the popular member of a bucket shares most buckets with others: the source of a group of variants
     popular = shared.groupBy("doc_id").agg((-F.sum("m")).alias("rank"))
     members = scratch.cut(shared.join(popular, "doc_id").select("band", "doc_id", "n", "rank"), "members")
-    stars = star_rounds(members.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).limit(0))
+    stars = docs.sparkSession.createDataFrame([], "a long, b long")
     first_hub = None
     for turn in range(hub_rounds + 1):
         named = _with_class(members, stars)
@@ -191,11 +205,15 @@ def classes(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, hub_rounds:
         if turn < hub_rounds:
             met = left.filter("doc_id <> hub.doc_id")
             members = met.select("band", "doc_id", "n", "rank")
-        else:  # the rest: all pairs of a bucket that are in different classes
-            other = left.select("band", F.struct("doc_id", "n", "class").alias("hub"))
-            met = left.drop("hub").join(other, "band").filter("hub.doc_id < doc_id")
+        else:  # the rest: all pairs of a bucket that are in different classes and may be similar
+            maps = signed.groupBy("doc_id").agg(F.first("map").alias("map")).select("doc_id", *[F.col("map")[i].alias(f"m{i}") for i in range(MAP_WORDS)])
+            mapped = left.drop("hub").join(maps, "doc_id")
+            other = mapped.select("band", F.struct("doc_id", "n", "class").alias("hub"), *[F.col(f"m{i}").alias(f"h{i}") for i in range(MAP_WORDS)])
+            met = mapped.join(other, "band").filter((F.col("hub.class") != F.col("class")) & (F.col("hub.doc_id") < F.col("doc_id")) & _possible(threshold) & _map_allows(threshold))
         pairs = met.filter((F.col("hub.class") != F.col("class")) & _possible(threshold)).select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
-        stars = star_rounds(stars.unionByName(verify(pairs, sets, threshold)))
+        found = verify(pairs, sets, threshold)
+        if not found.isEmpty():
+            stars = star_rounds(stars.unionByName(found))
     out = signed.select("doc_id", *copy).join(firsts.select(*copy, "rep"), copy).groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("__other"))
     # a doc_id whose rows have several texts ties their classes together
     ties = out.filter("rep <> __other").select(F.col("__other").alias("a"), F.col("rep").alias("b"))
