@@ -37,7 +37,7 @@ from strandloom.plans import scratch
 
 CAPACITY, UNIT, END_ID = 2048, 32, 1
 #: Words, and runs of letters, whose ids a worker remembers: twice as many of each at most.
-MEMORY_WORDS = 300_000
+MEMORY_WORDS = 100_000
 _PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary, task int, local long"
 
 
