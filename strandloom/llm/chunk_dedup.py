@@ -2,10 +2,13 @@
 
 The gear hash of a position adds the random 32-bit codes of the last sixteen
 bytes, each shifted by its distance. A chunk ends where that hash is smaller than
-at the ``reach`` positions on both sides. The rule looks at nothing but nearby
-bytes: an insertion moves later boundaries along with their text, a passage has
-the same chunks inside wherever it stands, and no chunk is shorter than
-``reach + 1`` bytes. Chunks are deduplicated by a 128-bit digest.
+at the ``reach`` positions on both sides. Minima that tie, as in text with a short
+period, end chunks at the first and the last of their run and, between them, at
+each next one that is out of reach of the end before. The rule looks at nothing but
+nearby bytes: an insertion moves later boundaries along with their text, and a
+passage has the same chunks inside wherever it stands, save those in which it or a
+run begins or ends. Only the last chunk of such a run and those at a text's end can be
+shorter than ``reach + 1`` bytes. Chunks are deduplicated by a 128-bit digest.
 
 A chunk is repeated if two different documents hold it. Runs of neighbouring
 repeated chunks of at least ``min_bytes`` are reported as passages, so a short
@@ -34,9 +37,8 @@ from pyspark.sql import functions as F
 
 from strandloom.llm import kernels as K
 from strandloom.llm.common import project
-from strandloom.plans import scratch
 
-REACH, MIN_BYTES = 24, 80
+REACH, MIN_BYTES = 12, 80
 _GEAR = (K.CODES[0] >> np.uint64(16)).astype(np.uint32)
 _CHUNKS = "doc_id long, first long, last long, hi long, lo long"
 
@@ -65,7 +67,7 @@ def chunk_ends(data: np.ndarray, off: np.ndarray, reach: int = REACH) -> tuple[n
         low = np.minimum(low[:-step], low[step:])
         span += step
     before, after = low[:n], low[reach + 1 : reach + 1 + n]
-    end = (h < before) & (h < after)
+    end = _thinned((h <= before) & (h <= after), reach)
     end[:-1] &= (data[1:] & 0xC0) != 0x80  # never inside a code point
     # positions near a row's ends see other rows' bytes: they end no chunk
     edge = np.zeros(n + 1, np.int64)
@@ -78,6 +80,27 @@ def chunk_ends(data: np.ndarray, off: np.ndarray, reach: int = REACH) -> tuple[n
     return start, stop, np.searchsorted(off, start, "right") - 1
 
 
+def _thinned(weak: np.ndarray, reach: int) -> np.ndarray:
+    """Of the minima that tie with others in reach: the first, the last and, between them, each next one that is out of reach."""
+    at = np.flatnonzero(weak)
+    near = np.diff(at) <= reach
+    tied = np.flatnonzero(near & ~np.concatenate([[False], near[:-1]])) if len(near) else near
+    if not len(tied):
+        return weak
+    ends = np.flatnonzero(np.concatenate([near, [False]]) < np.concatenate([[False], near]))
+    far = np.searchsorted(at, at + reach, "right")
+    keep = np.ones(len(at), bool)
+    for a, b in zip(tied.tolist(), ends.tolist(), strict=True):
+        keep[a + 1 : b] = False
+        k = int(far[a])
+        while k < b:
+            keep[k] = True
+            k = int(far[k])
+    out = np.zeros(len(weak), bool)
+    out[at[keep]] = True
+    return out
+
+
 def chunks(docs: DataFrame, reach: int = REACH) -> DataFrame:
     """All chunks: doc_id, byte range in the text, 128-bit digest."""
 
@@ -97,9 +120,12 @@ def chunks(docs: DataFrame, reach: int = REACH) -> DataFrame:
 
 def passages(docs: DataFrame, reach: int = REACH, min_bytes: int = MIN_BYTES) -> DataFrame:
     """Repeated passages: doc_id, first and last byte, n_chunks, keeper (the smallest of the chunks' keepers), and lost, the chunks that another document keeps."""
-    table = scratch.cut(chunks(docs, reach), "chunks")
+    table = chunks(docs, reach)  # cut twice, for the counts and for the join, and not written: less disk
     repeated = table.groupBy("hi", "lo").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("__other")).filter("keeper < __other").drop("__other")
-    held = table.join(repeated, ["hi", "lo"]).select("doc_id", "first", "last", "keeper").distinct()
+    placed = table.select("doc_id", (F.shiftleft("first", 32) + F.col("last") - F.col("first")).alias("place"), "hi", "lo")  # one number: less to shuffle
+    held = placed.join(repeated, ["hi", "lo"]).select("doc_id", "place", "keeper").distinct()
+    first = F.shiftright("place", 32)
+    held = held.select("doc_id", first.alias("first"), (first + F.col("place").bitwiseAND((1 << 32) - 1)).alias("last"), "keeper")
     order = Window.partitionBy("doc_id").orderBy("first", "last")
     breaks = held.withColumn("__new", F.when(F.lag("last").over(order) == F.col("first"), 0).otherwise(1))
     runs = breaks.withColumn("__run", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))

@@ -85,3 +85,20 @@ def test_whole_copies_and_empty(spark, documents, empty):
     assert C.passages(empty).collect() == []
     out = {r["doc_id"]: r["text"] for r in C.dedup_text(documents).collect()}
     assert out[120] == "" or len(out[120]) < 80
+
+
+def test_ties_end_chunks_in_periodic_text():
+    for period in ("belich ", "Ietzte. Stteen Erachtz. ", "-", "=-", "aaaaaaab"):
+        text = "some words before it " * 2 + period * (600 // len(period)) + "and quite other words after"
+        got = [len(c) for c in chunk_texts(text)]
+        assert sum(got) == len(text.encode()) and max(got) < 120 and len(got) < 70
+
+
+def test_short_and_periodic_passages_are_found(spark, words):
+    rng = random.Random(8)
+    short = ["".join(rng.choice("etaoinsh") for _ in range(rng.randint(2, 5))) for _ in range(3000)]
+    text = lambda n: " ".join(rng.choice(short) for _ in range(n))
+    held = [text(51) for _ in range(40)] + [p * (400 // len(p)) for p in ("belich ", "Ietzte. Stteen Erachtz. ", "- ", "-")]
+    rows = [(2 * k + j, f"{text(40)} {p} {text(40)}") for k, p in enumerate(held) for j in (0, 1)]
+    got = {r["doc_id"] for r in C.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i for i, _ in rows}
