@@ -1,13 +1,15 @@
 """Near-duplicate documents: ProbMinHash signatures, banding and exact verification.
 
 Shingles are runs of ``SHINGLE`` words ``[^\\x20\\x09-\\x0D]+`` (all words of a
-shorter text), weighted by how often the text holds them. Each shingle starts a
+shorter text), each with weight 1 however often the text holds it, as the accepted
+similarity is that of the sets. Each shingle starts a
 Poisson process whose rate is its weight; every arrival falls into one of the
 ``BANDS * ROWS`` registers, drawn from the shingle's own hash sequence, and a
 register keeps the shingle of its first arrival. A shingle stops as soon as its
 next arrival is later than every register's time, so a document of n shingles
 takes about n + k ln k arrivals. Two documents agree in a register with the
-probability Jaccard similarity of their weighted shingles.
+probability Jaccard similarity of their weighted shingles, with weights of 1 the
+Jaccard similarity of the sets.
 
 Copies (equal word sequences) are one class from the start and send one
 representative into the search. Representatives that agree in all registers of a
@@ -121,8 +123,8 @@ def signatures(docs: DataFrame) -> DataFrame:
                     doc = part.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
                     total[empty] = K.mix64(doc[empty] + np.uint64(salt))
                     prints.append(pa.array(K.signed(total)))
-                row, h, count = shingle_sets(spans)
-                keys = band_keys(prob_minhash(row, h, count.astype(float), n, BANDS * ROWS))
+                row, h, _ = shingle_sets(spans)
+                keys = band_keys(prob_minhash(row, h, np.ones(len(h)), n, BANDS * ROWS))
                 cut = np.searchsorted(row, np.arange(n + 1))
                 sets = [np.unique((h[cut[i] : cut[i + 1]] >> np.uint64(32)).astype(np.uint32)) for i in range(n)]
                 held = np.zeros((n, 64 * MAP_WORDS), bool)

@@ -83,3 +83,15 @@ def test_registers_estimate_weighted_jaccard():
     assert abs((reg[0] == reg[1]).mean() - 1500 / 1700) < 0.04
     one = N.prob_minhash(np.array([0]), np.array([7], np.uint64), np.ones(1), 2, 90)
     assert (one[0] == 7).all() and (one[1] == 0).all()
+
+
+def test_repeat_counts_do_not_hide_links(spark, words):
+    """Texts that differ in how often they hold a line are near copies if their shingle sets are."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(20):
+        body = " ".join(rng.choice(words) + str(j) for j in range(100 + 100 * (i % 2)))
+        line = " ".join(rng.choice(words) + "x" for _ in range(12 - 2 * (i % 2)))
+        rows += [(3 * i + j, body + f" {line}" * n) for j, n in enumerate((40, 5, 1))]
+    got = {r["doc_id"]: r["class_id"] for r in N.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows) and len(set(got.values())) == 20
