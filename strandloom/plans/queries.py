@@ -409,7 +409,12 @@ _COMP = f"WITH RECURSIVE {_ORDERS}, b AS (SELECT src AS u, dst AS v FROM e UNION
 
 
 def _large_lines(spark, d):
-    return table(spark, d, "lineitem").filter("l_quantity >= 50").select(F.concat(F.lit("o"), "l_orderkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"), F.col("l_quantity").cast("long").alias("len")).distinct()
+    return _order_lines(spark, d, 50)
+
+
+def _order_lines(spark, d, least: int = 0):
+    """Edges order -> part of the lines with a quantity of ``least`` or more, once for each quantity."""
+    return table(spark, d, "lineitem").filter(F.col("l_quantity") >= least).select(F.concat(F.lit("o"), "l_orderkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"), F.col("l_quantity").cast("long").alias("len")).distinct()
 
 
 @query(f"{_COMP} SELECT * FROM comp")
@@ -425,13 +430,36 @@ def component_sizes(spark, d):
 
 @query(f"WITH RECURSIVE {_ORDERS}, b AS (SELECT src AS u, dst AS v, len FROM e UNION ALL SELECT dst, src, len FROM e), r AS (SELECT 'p' || p_partkey AS vertex, 0::BIGINT AS dist FROM part WHERE p_size = 1 UNION SELECT b.v, r.dist + b.len FROM r JOIN b ON r.vertex = b.u WHERE r.dist + b.len <= 150) SELECT vertex, min(dist) AS dist FROM r GROUP BY vertex")
 def neighbourhood(spark, d):
-    """Distances up to 150 from the smallest parts, lines taken both ways."""
-    e = _large_lines(spark, d)
+    """Distances up to 150 from the smallest parts over lines of fifty pieces, taken both ways."""
+    return _near_parts(spark, d, _large_lines(spark, d))
+
+
+def _near_parts(spark, d, e):
     both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "len"))
     seeds = table(spark, d, "part").filter("p_size = 1").select(F.concat(F.lit("p"), "p_partkey").alias("vertex"))
     return graph.distances(both, seeds, 150)
 
 
+# the same over every line, without SQL: tests compare with brute force
+
+
+@query()
+def order_components(spark, d):
+    """Components of orders and parts over all lines."""
+    return graph.connected_components(_order_lines(spark, d), a="src", b="dst")
+
+
+@query()
+def order_component_sizes(spark, d):
+    return graph.component_sizes(_order_lines(spark, d))
+
+
+@query()
+def order_neighbourhood(spark, d):
+    """Distances up to 150 from the smallest parts over all lines, taken both ways."""
+    return _near_parts(spark, d, _order_lines(spark, d))
+
+
 @query()
 def acyclic(spark, d):
     """Whether the event transitions hold no cycle."""
