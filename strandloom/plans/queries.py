@@ -346,8 +346,8 @@ def passages(spark, d):
 
 @query()
 def unitigs(spark, d):
-    """Maximal unbranching strings of the benchmark passages' k-mer graph."""
-    return graph.unitigs(contigs(spark, d), K)
+    """Maximal unbranching strings of the documents' k-mer graph."""
+    return graph.unitigs(reads(spark, d), K)
 
 
 # --- the trade graph -----------------------------------------------------------------------------
