@@ -37,7 +37,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that overlap a benchmark item."""
-    return decontaminate.clean(docs, read(spark, sf_dir, "benchmark")).select(*COLUMNS)
+    return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"), short=True).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Benchmark decontamination: spaced-seed hashes and a substitution-tolerant check.
 
-Texts are sequences of lower-cased words (runs of letters and digits). A seed is
+Texts are sequences of lower-cased words (runs of letters, marks and digits of any
+script; each character of a script without spaces is a word). A seed is
 a fixed mask over neighbouring words that ignores some positions; equal masked
 words of a benchmark item and a document give a hit and with it an alignment. An
 alignment overlaps if some window of ``WINDOW`` words agrees in all but two of them,
@@ -12,8 +13,10 @@ a block's hashes are sent to the executors and have at most ``block_words`` word
 (expected; items are dealt to blocks by hash), so a larger benchmark means more
 blocks and not more memory.
 
-Edge cases: items of fewer than ``MIN_ITEM`` words are not searched (any text
-would hold them); null or empty texts overlap nothing; null item texts are
+Items of fewer than ``MIN_ITEM`` words are searched with ``short=True``, by an exact
+match of all their words (a hash of the whole item), and else not at all.
+
+Edge cases: an item without words overlaps nothing; null or empty texts overlap nothing; null item texts are
 skipped; repeated documents or items give repeated overlaps.
 """
 
@@ -38,16 +41,26 @@ _BITS = 22
 _GAP = np.ones(256, bool)
 _GAP[48:58] = _GAP[65:91] = _GAP[97:123] = _GAP[128:] = False
 _Q = [np.uint64(x) for x in K.mix64(np.arange(8, dtype=np.uint64) + np.uint64(909)) | np.uint64(1)]
+#: Outside ASCII: what belongs to no word, and the characters that are words of their own.
+_OTHER_GAP = r"[^\x00-\x7F\p{L}\p{N}\p{M}]+"
+_ALONE = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])"
+_ALONE_JAVA = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 OVERLAP = "array<struct<item_id:bigint,n_words:bigint,n_equal:bigint,doc_from:bigint,item_from:bigint>>"
 
 
 def allowed(width: int) -> int:
     """Substitutions that a window of so many words may have."""
-    return 2 if width >= WINDOW else 1
+    return 2 if width >= WINDOW else 1 if width >= MIN_ITEM else 0
 
 
 def text_words(col: pa.Array) -> K.Spans:
-    return K.words(*K.buffers(pc.utf8_lower(col)), _GAP)
+    col = pc.utf8_lower(col)
+    lead = K.buffers(col)[0].max(initial=0)
+    if lead >= 0xC2:  # not ASCII alone
+        col = pc.replace_substring_regex(col, _OTHER_GAP, " ")
+    if lead >= 0xE0:  # the scripts without spaces have three bytes or more
+        col = pc.replace_substring_regex(col, _ALONE, r" \1 ")
+    return K.words(*K.buffers(col), _GAP)
 
 
 def seed_keys(spans: K.Spans) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -64,10 +77,22 @@ def seed_keys(spans: K.Spans) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield K.mix64(h[at]), at
 
 
+def whole_keys(spans: K.Spans, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, first word) of all runs of ``m`` words within a row."""
+    n = len(spans.hash) - m + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    h = np.full(n, len(SEEDS) + m, np.uint64)
+    for o in range(m):
+        h += spans.hash[o : o + n] * _Q[o]
+    at = np.flatnonzero(spans.row[:n] == spans.row[m - 1 :])
+    return K.mix64(h[at]), at
+
+
 class Block:
     """The searched form of some benchmark items."""
 
-    def __init__(self, ids: list[int], texts: pa.Array) -> None:
+    def __init__(self, ids: list[int], texts: pa.Array, short: bool = False) -> None:
         spans = text_words(texts)
         self.ids, self.hash, self.first = np.array(ids, np.int64), spans.hash, spans.row_starts()
         key = [np.zeros(0, np.uint64)]
@@ -83,21 +108,28 @@ class Block:
         self.row = spans.row
         self.seen = np.zeros(1 << _BITS, bool)
         self.seen[self.key >> np.uint64(64 - _BITS)] = True
+        #: By number of words: keys and first words of the short items.
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        n_words = np.diff(self.first)
+        for m in range(1, MIN_ITEM) if short else ():
+            key, at = whole_keys(spans, m)
+            use = n_words[spans.row[at]] == m
+            if use.any():
+                order = np.argsort(key[use], kind="stable")
+                self.short[m] = key[use][order], at[use][order]
+                self.seen[self.short[m][0] >> np.uint64(64 - _BITS)] = True
 
     def find(self, spans: K.Spans) -> list[list[dict]]:
         """Best overlap with each item, for each row of the slice."""
         out: list[list[dict]] = [[] for _ in range(spans.n_rows)]
-        if not len(self.key):
+        if not len(self.key) and not self.short:
             return out
         starts, pairs = spans.row_starts(), []
-        for key, at in seed_keys(spans):
-            maybe = np.flatnonzero(self.seen[key >> np.uint64(64 - _BITS)])
-            lo, hi = np.searchsorted(self.key, key[maybe]), np.searchsorted(self.key, key[maybe], "right")
-            n = hi - lo
-            mine = np.repeat(at[maybe], n)
-            theirs = self.word[np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())] if n.sum() else np.zeros(0, np.int64)
-            item = self.row[theirs]
-            pairs.append(np.stack([spans.row[mine], item, (mine - starts[spans.row[mine]]) - (theirs - self.first[item])], 1))
+        for key, at in seed_keys(spans) if len(self.key) else ():
+            pairs.append(self._hits(spans, starts, key, at, self.key, self.word))
+        for m, held in self.short.items():
+            hits = self._hits(spans, starts, *whole_keys(spans, m), *held)
+            pairs.append(hits[np.unique(hits[:, :2], axis=0, return_index=True)[1]])  # the first place is the best
         best: dict[tuple[int, int], dict] = {}
         for row, item, shift in np.unique(np.concatenate(pairs), axis=0).tolist() if pairs else []:
             got = self._check(spans.hash[starts[row] : starts[row + 1]], item, shift)
@@ -108,6 +140,16 @@ class Block:
             out[row].append(got)
         return out
 
+    def _hits(self, spans: K.Spans, starts: np.ndarray, key: np.ndarray, at: np.ndarray, keys: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """(row, item, shift) of the placements whose key is among ``keys``, in the order of ``at``."""
+        maybe = np.flatnonzero(self.seen[key >> np.uint64(64 - _BITS)])
+        lo, hi = np.searchsorted(keys, key[maybe]), np.searchsorted(keys, key[maybe], "right")
+        n = hi - lo
+        mine = np.repeat(at[maybe], n)
+        theirs = words[np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())] if n.sum() else np.zeros(0, np.int64)
+        item = self.row[theirs]
+        return np.stack([spans.row[mine], item, (mine - starts[spans.row[mine]]) - (theirs - self.first[item])], 1)
+
     def _check(self, doc: np.ndarray, item: int, shift: int) -> dict | None:
         """The overlap on the alignment where item word i meets document word i + shift."""
         words = self.hash[self.first[item] : self.first[item + 1]]
@@ -123,20 +165,20 @@ class Block:
         return {"item_id": int(self.ids[item]), "n_words": b - a, "n_equal": int(same[b] - same[a]), "doc_from": lo + a + shift, "item_from": lo + a}
 
 
-def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[Block]:
+def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS, short: bool = False) -> Iterator[Block]:
     """The benchmark in blocks of about ``block_words`` words at most."""
     items = project(benchmark, "item_id", "text").filter("item_id IS NOT NULL AND text IS NOT NULL").withColumn("item_id", F.col("item_id").cast("long"))
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, -(-total // (5 * block_words)))
+    total = items.agg(F.sum(F.length("text") / 5 + F.regexp_count("text", F.lit(_ALONE_JAVA)))).first()[0] or 0
+    n = max(1, -int(-total // block_words))
     for k in range(n):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else items
         got = part.toArrow().combine_chunks().sort_by([("item_id", "ascending"), ("text", "ascending")])
-        yield Block(got.column("item_id").to_pylist(), got.column("text").combine_chunks())
+        yield Block(got.column("item_id").to_pylist(), got.column("text").combine_chunks(), short)
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Column:
+def overlaps(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS, short: bool = False) -> Column:
     """The overlaps of the text column ``text`` of ``docs`` with the benchmark, as an array column."""
-    found = [_search(docs.sparkSession, block)(F.col("text")) for block in blocks(benchmark, block_words)]
+    found = [_search(docs.sparkSession, block)(F.col("text")) for block in blocks(benchmark, block_words, short)]
     return F.concat(*found) if len(found) > 1 else found[0]
 
 
@@ -155,12 +197,12 @@ def _search(spark: SparkSession, block: Block):
     return search
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS, short: bool = False) -> DataFrame:
     """One row for each document and benchmark item that overlap: doc_id, item_id, n_words, n_equal, doc_from, item_from."""
-    rows = project(docs, "doc_id", "text").select("doc_id", F.explode(overlaps(docs, benchmark, block_words)).alias("o"))
+    rows = project(docs, "doc_id", "text").select("doc_id", F.explode(overlaps(docs, benchmark, block_words, short)).alias("o"))
     return rows.select("doc_id", "o.*")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS, short: bool = False) -> DataFrame:
     """The documents that overlap no benchmark item, all columns."""
-    return docs.withColumn("__overlaps", overlaps(docs, benchmark, block_words)).filter(F.size("__overlaps") == 0).drop("__overlaps")
+    return docs.withColumn("__overlaps", overlaps(docs, benchmark, block_words, short)).filter(F.size("__overlaps") == 0).drop("__overlaps")

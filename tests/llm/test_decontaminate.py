@@ -64,3 +64,24 @@ def test_overlap_place(spark):
     docs = spark.createDataFrame([(1, "x y z " + item.replace("w7", "other") + " end")], "doc_id long, text string")
     r = D.contaminated(docs, spark.createDataFrame([(4, item)], "item_id long, text string")).first()
     assert (r["n_words"], r["n_equal"], r["doc_from"], r["item_from"]) == (20, 19, 3, 0)
+
+
+def test_short_items_and_other_scripts(spark):
+    zh = "\u4eca\u5929\u5929\u6c14\u5f88\u597d\u6211\u4eec\u53bb\u516c\u56ed\u6563\u6b65"
+    th = "\u0e20\u0e32\u0e29\u0e32\u0e44\u0e17\u0e22\u0e2a\u0e27\u0e22\u0e07\u0e32\u0e21"
+    quoted = "one two three four five six seven eight"
+    items = [(1, "What is 12 + 30?"), (2, zh), (3, th), (4, quoted), (5, "!?"), (6, "alone")]
+    docs = [
+        (1, "so what is 12+30 then, what is 12 30"),
+        (2, "what is 12 or 30"),
+        (3, f"\u524d\u6587\u3002{zh[:6]}\uff0c{zh[6:]}\u3002\u540e\u6587"),
+        (4, f"x{th}y"),
+        (5, "\u201cone two\u201d\u2014three\u00a0four five\u2026six seven \u00abeight\u00bb"),
+        (6, zh[:6]),
+        (7, "ALONE, lonely"),
+        (8, None),
+    ]
+    made = [spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")]
+    got = {(r["doc_id"], r["item_id"]): (r["n_words"], r["n_equal"], r["doc_from"]) for r in D.contaminated(*made, short=True).collect()}
+    assert got == {(1, 1): (4, 4, 1), (3, 2): (13, 13, 2), (4, 3): (len(th), len(th), 1), (5, 4): (8, 8, 0), (7, 6): (1, 1, 0)}
+    assert {r["doc_id"] for r in D.clean(*made, short=True).collect()} == {2, 6, 8}
