@@ -39,7 +39,7 @@ from strandloom.llm import kernels as K
 from strandloom.llm.common import project
 
 REACH, MIN_BYTES = 12, 80
-_GEAR = (K.CODES[0] >> np.uint64(16)).astype(np.uint32)
+_GEAR = (K.CODES >> np.uint64(16)).astype(np.uint32)
 _CHUNKS = "doc_id long, first long, last long, hi long, lo long"
 
 
@@ -104,14 +104,16 @@ def _thinned(weak: np.ndarray, reach: int) -> np.ndarray:
 def chunks(docs: DataFrame, reach: int = REACH) -> DataFrame:
     """All chunks: doc_id, byte range in the text, 128-bit digest."""
 
+    @K.lean
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in K.slices(batch, "text"):
                 data, off = K.buffers(K.column(part, "text"))
                 start, end, row = chunk_ends(data, off, reach)
                 doc = part.column(0).to_numpy(zero_copy_only=False)[row]
+                digest = [pa.array(K.signed(h)) for h in K.span_hash(data, start, end, 0, 1)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc), pa.array(start - off[row]), pa.array(end - off[row]), pa.array(K.signed(K.span_hash(data, start, end, 0))), pa.array(K.signed(K.span_hash(data, start, end, 1)))],
+                    [pa.array(doc), pa.array(start - off[row]), pa.array(end - off[row]), *digest],
                     names=[x.split()[0] for x in _CHUNKS.split(", ")],
                 )
 

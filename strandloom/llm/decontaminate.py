@@ -187,6 +187,7 @@ def _search(spark: SparkSession, block: Block):
     kind = pa.list_(pa.struct([(n, pa.int64()) for n in ("item_id", "n_words", "n_equal", "doc_from", "item_from")]))
 
     @F.arrow_udf(OVERLAP)
+    @K.lean
     def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for col in batches:
             out: list[list[dict]] = []

@@ -85,6 +85,7 @@ def fit(docs: DataFrame, usable: Column, max_train_docs: int = MAX_TRAIN_DOCS) -
     marked = project(docs, "doc_id", "text", "lang").filter(usable & F.col("lang").isNotNull())
     keys = F.broadcast(hash_sample(marked.select("doc_id").distinct(), "doc_id", max_train_docs))  # at most max_train_docs rows
 
+    @K.lean
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         seen: dict[str, int] = {}
@@ -123,6 +124,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.logp, model.prior))  # languages x 1 << BITS
 
     @F.arrow_udf("struct<lang:string,score:double>")
+    @K.lean
     def best(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         langs, logp, prior = sent.value
         for col in batches:

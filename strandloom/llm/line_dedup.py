@@ -150,7 +150,7 @@ def line_keys(data: np.ndarray, off: np.ndarray, min_chars: int) -> tuple[np.nda
     start, end, row = K.lines(data, off)
     low = K.ASCII_LOWER[data]
     s, e = K.strip(low, start, end)
-    hi, lo = K.span_hash(low, s, e, 0), K.span_hash(low, s, e, 1)
+    hi, lo = K.span_hash(low, s, e, 0, 1)
     return start, end, row, hi, lo, K.code_points(low, s, e) >= min_chars
 
 
@@ -165,6 +165,7 @@ def _unique_refs(doc: np.ndarray, hi: np.ndarray, lo: np.ndarray) -> pa.RecordBa
 def references(docs: DataFrame, min_chars: int = MIN_CHARS, filters=None) -> DataFrame:
     """Distinct (hi, lo, doc_id) of all long lines, or of those that the filters let through."""
 
+    @K.lean
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probes = filters.value if filters else None
         for batch in batches:

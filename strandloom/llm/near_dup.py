@@ -109,6 +109,7 @@ def band_keys(reg: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarr
 def signatures(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: copy fingerprint, number of distinct shingles, band keys and shingle set."""
 
+    @K.lean
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in K.slices(batch, "text", _SLICE):

@@ -15,16 +15,16 @@ length. Ranks need no sort of the table: each task of the tokenising pass number
 its pieces by length, and a running sum over (task, length) counts lifts that to
 a global rank. Texts and ids never move; only the pieces' small rows do.
 
-Edge cases: a null or empty text is one piece with the end mark; repeated rows of
-a doc_id are packed row by row; an empty table gives no pieces; extra columns are
-ignored.
+Edge cases: a null or empty text is one piece with the end mark; a null doc_id
+stays null; a very long text is tokenised by itself, whole; repeated rows of a
+doc_id are packed row by row; an empty table gives no pieces; extra columns are
+ignored. Lengths that tie are laid out by task and by order of reading, so another
+partitioning of the same table may place a piece elsewhere.
 """
 
 from __future__ import annotations
 
-import os
-import re
-from collections.abc import Callable, Iterable, Iterator, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +32,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.llm import byte_pairs
+from strandloom.llm import kernels as K
 from strandloom.llm.common import project
 from strandloom.plans import scratch
 
 CAPACITY, UNIT, END_ID = 2048, 32, 1
-#: Words, and runs of letters, whose ids a worker remembers: twice as many of each at most.
-MEMORY_WORDS = 100_000
+#: Bytes of text whose distinct words are merged together, or one document's if it is longer.
+SLICE_BYTES = 1 << 20
 _PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary, task int, local long"
 
 
@@ -136,104 +138,52 @@ def plan(histogram: Mapping[int, int], capacity: int = CAPACITY) -> np.ndarray:
 # --- tokens and pieces ----------------------------------------------------------------------------
 
 
-class _Memory(dict):
-    """What a function gave, for about the last ``size`` to ``2 * size`` different keys."""
-
-    def __init__(self, make: Callable[[str], bytes], size: int) -> None:
-        super().__init__()
-        self.make, self.size, self.older = make, size, {}
-
-    def __missing__(self, key: str) -> bytes:
-        found = self.older.get(key)
-        if found is None:
-            found = self.make(key)
-        if len(self) >= self.size:
-            self.older = dict(self)
-            self.clear()
-        self[key] = found
-        return found
-
-
-class WordIds:
-    """Ids (little-endian, 32 bits) of texts, put together from remembered words and runs.
-
-    The tokenizer cuts at white space, then into runs of letters, single digits and
-    runs of other signs, and looks at nothing beyond a run; so a text's ids are those
-    of its words, and a word's those of its runs. Words of plain letters and signs
-    are taken apart here and only new runs meet the merge table; any other word goes
-    through the whole tokenizer.
-    """
-
-    def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.words, self.runs = _Memory(self._word, MEMORY_WORDS), _Memory(self._run, MEMORY_WORDS)
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _word(self, word: str) -> bytes:
-        if not _PLAIN.fullmatch(word):
-            return self._whole(word)
-        return b"".join(map(self.runs.__getitem__, _RUN.findall(word.lower())))
-
-    def _run(self, run: str) -> bytes:
-        # the table spells a byte from 33 to 126 as itself, and the two bytes of a letter from U+00C0 to U+00FF so:
-        spelt = run if run.isascii() else "".join(c if c < "\x7f" else "\u00c3" + _HIGH[ord(c)] for c in run)
-        return np.array([t.id for t in self.model.tokenize(spelt)], "<u4").tobytes()
-
-    def of_text(self, text: str) -> bytes:
-        if "<|" in text or any(c in text for c in _SEPARATED):
-            # special tokens may hold white space; Python splits at controls that the tokenizer doesn't
-            return self._whole(text)
-        return b"".join(map(self.words.__getitem__, text.split()))
-
-
-#: Words of ASCII signs and letters (no apostrophe, which has rules of its own) and letters from U+00C0 to U+00FF.
-_PLAIN = re.compile("[!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
-_RUN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
-#: Byte-level spelling of the second byte of U+00DF to U+00FF: bytes 0x9F to 0xBF; those that do not print move up to U+0100 and on.
-_HIGH = {c: chr(b if b >= 0xA1 and b != 0xAD else 0x100 + 33 + (b - 0x7F) if b <= 0xA0 else 0x143) for c in range(0xDF, 0x100) for b in (c - 0x40,)}
-_SEPARATED = "\x1c\x1d\x1e\x1f"
-_tokenizers: dict[str, WordIds] = {}
-
-
-def word_ids(path: str) -> WordIds:
-    """The worker's own instance: what it remembers serves its later tasks too."""
-    if path not in _tokenizers:
-        _tokenizers[path] = WordIds(path)
-    return _tokenizers[path]
-
-
 def cut_points(n: int, capacity: int = CAPACITY, unit: int = UNIT) -> list[int]:
     """Lengths of a document's pieces."""
     rest = n % capacity
     return [capacity] * (n // capacity) + [x for x in (rest - rest % unit, rest % unit) if x]
 
 
+def _cut(n: np.ndarray, capacity: int, unit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Document and length of all pieces of documents of ``n`` tokens, as ``cut_points`` has them."""
+    full, rest = n // capacity, n % capacity
+    body, tail = rest - rest % unit, rest % unit
+    doc = np.repeat(np.arange(len(n)), full + 2)
+    place = np.arange(len(doc)) - np.repeat(np.cumsum(full + 2) - (full + 2), full + 2)
+    size = np.where(place < full[doc], capacity, np.where(place == full[doc], body[doc], tail[doc]))
+    some = size > 0
+    return doc[some], size[some]
+
+
+def _numbered(size: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Each piece's number among those of its length; ``seen`` counts by length and goes on."""
+    order = np.argsort(size, kind="stable")
+    s = size[order]
+    local = np.empty(len(size), np.int64)
+    local[order] = np.arange(len(s)) - np.searchsorted(s, s) + seen[s]
+    np.add.at(seen, size, 1)
+    return local
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, unit: int = UNIT, end_id: int = END_ID) -> DataFrame:
     """The pieces of all documents with their ids (binary, little-endian 32 bits), numbered by task and length."""
 
+    @K.lean
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, end = word_ids(tokenizer_path), np.array([end_id], "<u4").tobytes()
-        task, counts = TaskContext.get().partitionId(), dict[int, int]()
+        pairs = byte_pairs.load(tokenizer_path)
+        task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                out: list[tuple] = []
-                for doc, text in zip(batch.column(0)[lo : lo + 256].to_pylist(), batch.column(1)[lo : lo + 256].to_pylist(), strict=True):
-                    ids = ids_of.of_text(text or "") + end
-                    at, n = 0, len(ids) // 4
-                    for size in cut_points(n, capacity, unit):
-                        local = counts.get(size, 0)
-                        counts[size] = local + 1
-                        out.append((doc, at, size, n, ids[4 * at : 4 * (at + size)], task, local))
-                        at += size
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64())
-                cols = list(zip(*out, strict=True)) or [()] * 7
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in _PIECES.split(", ")])
+            for part in K.slices(batch, "text", SLICE_BYTES):
+                ids, n = pairs.of_slice(*K.buffers(K.column(part, "text")))
+                every = np.full(len(ids) + len(n), end_id, "<u4")
+                every[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] = ids
+                n = n + 1
+                doc, size = _cut(n, capacity, unit)
+                end = np.cumsum(size)
+                start = end - size - (np.cumsum(n) - n)[doc]
+                held = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.concatenate([[0], end * 4]).astype(np.int32)), pa.py_buffer(every)])
+                cols = [part.column(0).take(pa.array(doc)), pa.array(start), pa.array(size), pa.array(n[doc]), held, pa.array(np.full(len(size), task, np.int32)), pa.array(_numbered(size, seen))]
+                yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in _PIECES.split(", ")])
 
     return project(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(scan, _PIECES)
 
@@ -251,11 +201,11 @@ def pack(docs: DataFrame, tokenizer_path: str, payload: Mapping[str, Column] | N
     counts = table.groupBy("length", "task").agg(F.count("*").alias("n"))
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # as many rows as lengths
-    sent = spark.sparkContext.broadcast(plan(histogram, capacity))  # some thousand rows at most, by the number of lengths
+    places = plan(histogram, capacity)  # some thousand rows at most, by the number of lengths
 
     @F.arrow_udf("struct<sequence_id:long,offset:long>")
     def place(length: pa.Array, rank: pa.Array) -> pa.Array:
-        p = sent.value
+        p = places
         s, r = length.to_numpy(), rank.to_numpy()
         wide = int(p[:, 1].max(initial=0)) + 1
         wide = max(wide, int(r.max(initial=0)) + 1)

@@ -225,6 +225,7 @@ def score(docs: DataFrame, model: AdditiveModel, threshold: float = 0.3) -> Data
     """``docs`` with score and predicted (columns of these names are replaced); no shuffle."""
 
     @F.arrow_udf("double")
+    @K.lean
     def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for col in batches:
             yield pa.array(np.concatenate([np.zeros(0), *(model.score(x) for x in _each_slice(col))]))

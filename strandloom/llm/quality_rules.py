@@ -98,8 +98,9 @@ def profile_slice(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (lrow[1:] != lrow[:-1])
     at = np.flatnonzero(new)
+    print_hi, print_lo = K.span_hash(data, off[:-1], off[1:], 0, 1)
     return {
-        "print_hi": K.span_hash(data, off[:-1], off[1:], 0), "print_lo": K.span_hash(data, off[:-1], off[1:], 1), "n_words": per_row, "word_chars": chars,
+        "print_hi": print_hi, "print_lo": print_lo, "n_words": per_row, "word_chars": chars,
         "n_symbols": symbols[off[1:]] - symbols[off[:-1]], "n_dup_lines": np.bincount(row[dup], minlength=rows), "n_repeat_words": repeat_words(spans, WINDOW),
         "line_hash": h[at], "line_words": np.add.reduceat(held, at) if len(at) else held, "line_off": np.concatenate([[0], np.cumsum(np.bincount(lrow[at], minlength=rows))]),
     }
@@ -108,6 +109,7 @@ def profile_slice(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
 def profiles(docs: DataFrame, host: str = "source") -> DataFrame:
     """One row for each row of ``docs``: its measures and its distinct lines."""
 
+    @K.lean
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in K.slices(batch, "text"):

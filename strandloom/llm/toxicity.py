@@ -109,6 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, usable: Column, max_trai
     marked = labels.filter(usable & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     sample = F.broadcast(hash_sample(marked, "doc_id", max_train_docs))  # at most max_train_docs rows
 
+    @K.lean
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in K.slices(batch, "text"):
@@ -120,6 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, usable: Column, max_trai
                 sets = [at[cut[i] : cut[i + 1]].tobytes() + bias for i in range(part.num_rows)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sets, pa.binary())], names=["doc_id", "label", "features"])
 
+    @K.lean
     def learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, ys = [], []
         for batch in batches:
@@ -142,6 +144,7 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> Data
     sent = docs.sparkSession.sparkContext.broadcast((model.index, model.weight, model.bias))  # below 1 << BITS pairs
 
     @F.arrow_udf("double")
+    @K.lean
     def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         index, weight, bias = sent.value
         w = ToxicityModel(index, weight, bias).dense()

@@ -95,3 +95,20 @@ def test_line_kernel_matches_split():
     for a, b, h in zip(w.start, w.end, w.hash):
         assert same.setdefault(raw[a:b], h) == h
     assert len(set(same.values())) == len(same)
+
+
+def test_digests_of_related_texts_differ():
+    """Thue-Morse texts and their complements, which polynomial hashes modulo 2**64 confuse, and texts that differ in zeros or order."""
+    pairs = []
+    for bits in range(3, 14):
+        bit = [bin(i).count("1") % 2 for i in range(1 << bits)]
+        for a, b in (("a", "b"), ("ab", "ba"), ("abcdefgh", "hgfedcba")):
+            pairs.append(("".join((a, b)[x] for x in bit), "".join((b, a)[x] for x in bit)))
+    texts = [x for p in pairs for x in p] + ["", "\0", "\0" * 8, "\0" * 9, "abcdefgh" * 2 + "x" * 8, "abcdefgh" + "x" * 8 + "abcdefgh"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    end = np.cumsum([len(t) for t in texts])
+    for which in (0, 1):
+        h = K.span_hash(data, end - [len(t) for t in texts], end, which)[0]
+        assert len(set(h.tolist())) == len(set(texts))
+    alone = [int(K.span_hash(np.frombuffer(t.encode(), np.uint8), np.array([0]), np.array([len(t)]))[0]) for t in texts]
+    assert alone == K.span_hash(data, end - [len(t) for t in texts], end).tolist()  # whatever surrounds it

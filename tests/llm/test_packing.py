@@ -2,9 +2,12 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from strandloom.llm import byte_pairs
+from strandloom.llm import kernels as K
 from strandloom.llm import packing as P
 from strandloom.llm.queries import tokenizer_path
 
@@ -54,16 +57,17 @@ def test_word_ids_are_the_tokenizers(tokenizer):
     rng = random.Random(3)
     signs = "abzAZéÉßÿÀ09'’!#_-.²½÷×\u00ad\u00a0Σςœ中\u0301\x1c\t\n  "
     texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 40))) for _ in range(1500)] + ["it's don't l'été 'S", "a<|endoftext|>b <|startoftext|>", "a\x1cb", "İI ΟΔΟΣ"]
-    w = P.WordIds(tokenizer_path())
-    for t in texts:
-        assert np.frombuffer(w.of_text(t), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+    texts += ["aaaaaaaaaaaaaa aaa", "", "\u00d7\u00f7", "x" * 5000, "A.B,C;1234 '' 'Tis"]
+    ids, n = byte_pairs.load(tokenizer_path()).of_slice(*K.buffers(pa.array(texts)))
+    end = np.cumsum(n)
+    for t, a, b in zip(texts, end - n, end):
+        assert ids[a:b].tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
-def test_memory_is_bounded():
-    m = P._Memory(str.encode, 10)
-    for i in range(1000):
-        assert m[str(i % 37)] == str(i % 37).encode()
-        assert len(m) <= 10 and len(m.older) <= 10
+def test_ids_of_nothing():
+    ids, n = byte_pairs.load(tokenizer_path()).of_slice(*K.buffers(pa.array(["", " \n"])))
+    assert len(ids) == 0 and n.tolist() == [0, 0]
+    assert [len(x) for x in byte_pairs.load(tokenizer_path()).of_slice(np.zeros(0, np.uint8), np.zeros(1, np.int64))] == [0, 0]
 
 
 def test_best_pattern_by_brute_force():
@@ -110,3 +114,11 @@ def test_cut_points():
     for n in range(1, 700):
         c = P.cut_points(n, 256, 16)
         assert sum(c) == n and all(x == 256 or x % 16 == 0 or x < 16 for x in c)
+    doc, size = P._cut(np.arange(1, 700), 256, 16)
+    assert [size[doc == i].tolist() for i in range(699)] == [P.cut_points(n, 256, 16) for n in range(1, 700)]
+
+
+def test_pieces_are_numbered_by_length():
+    seen = np.zeros(9, np.int64)
+    assert P._numbered(np.array([3, 5, 3, 3]), seen).tolist() == [0, 0, 1, 2]
+    assert P._numbered(np.array([5, 3, 8]), seen).tolist() == [1, 3, 0]
