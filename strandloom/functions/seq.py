@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from strandloom.functions import codes as C
+
 LETTERS = "ACGT"
 
 
@@ -103,17 +106,22 @@ def right_run(s: Column | str) -> Column:
 
 def run_starts(s: Column | str) -> Column:
     """0-based positions at which a run begins: the compressed coordinates in the original."""
-    s = _c(s)
-    at = F.sequence(F.lit(0), F.greatest(F.length(s) - 1, F.lit(0)))
-    keep = F.filter(at, lambda i: (i == 0) | (F.substr(s, i, F.lit(1)) != F.substr(s, i + 1, F.lit(1))))
-    return F.when(F.length(s) > 0, keep).otherwise(F.array().cast("array<int>"))
+
+    @F.arrow_udf("array<int>")
+    def starts(col: pa.Array) -> pa.Array:
+        return C.run_starts(col)
+
+    return starts(_c(s))
 
 
 def kmers(s: Column | str, k: int) -> Column:
     """All k-mers in order, as an array; empty for shorter sequences."""
-    s = _c(s)
-    n = F.length(s) - (k - 1)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda p: F.substr(s, p, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+
+    @F.arrow_udf("array<string>")
+    def cut(col: pa.Array) -> pa.Array:
+        return C.kmer_lists(col, k)
+
+    return cut(_c(s))
 
 
 def vertex_label(h: Column | str, digits: int = 7) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.functions import codes as C
 from strandloom.functions import seq as S
 from strandloom.operators import kmers as KM
 from strandloom.operators.components import connected_components
@@ -108,15 +109,17 @@ def unitigs(reads: DataFrame, k: int) -> DataFrame:
     are cut at their smallest canonical k-mer.
     """
     spark = reads.sparkSession
-    near = KM.neighbours(reads, k)
-    letters = near.groupBy("kmer").agg(F.min("next").alias("n0"), F.max("next").alias("n1"), F.min("prev").alias("p0"), F.max("prev").alias("p1"), F.count("*").alias("n"))
-    nodes = scratch.cut(letters, "nodes")
-    one_out = nodes.filter("n0 IS NOT NULL AND n0 = n1").select("kmer", F.concat(F.substr("kmer", F.lit(2)), "n0").alias("next"))
-    one_in = nodes.filter("p0 IS NOT NULL AND p0 = p1").select(F.col("kmer").alias("next"))
+    nodes = scratch.cut(KM.nodes(reads, k), "nodes")
+    letter = KM.only_letter(4)
+    if k <= C.MAX_K:  # drop the first letter, add one
+        ahead = F.shiftleft(F.col("kmer").bitwiseAND((1 << 2 * (k - 1)) - 1), 2).bitwiseOR(letter.cast("long"))
+    else:
+        ahead = F.concat(F.substr("kmer", F.lit(2)), F.substr(F.lit(S.LETTERS), letter + 1, F.lit(1)))
+    one_out = nodes.select("kmer", "rc", ahead.alias("next")).filter("next IS NOT NULL")
+    one_in = nodes.filter(KM.only_letter(0).isNotNull()).select(F.col("kmer").alias("next"))
     # a hairpin's k-mer never continues into its own reverse complement
-    link = one_out.join(one_in, "next", "left_semi").filter(F.col("next") != S.rev_comp("kmer"))
+    link = scratch.cut(one_out.filter("next <> rc").join(one_in, "next", "left_semi").select("kmer", "next"), "links")
     start = nodes.select("kmer", "n").join(link, "kmer", "left")
-    heads = nodes.select("kmer").join(link.select(F.col("next").alias("kmer")), "kmer", "left_anti")
     # rank from the end: jump pointers carry the number of steps
     now, path = scratch.write(start.select("kmer", F.coalesce("next", "kmer").alias("to"), F.col("next").isNotNull().cast("long").alias("steps")), "jump")
     moved = None
@@ -135,21 +138,25 @@ def unitigs(reads: DataFrame, k: int) -> DataFrame:
     chains = done.select("to", "kmer", "steps")
     loops = now.join(open_ends, "to", "left_semi").select("kmer")
     if moved:
-        chains = chains.unionByName(_cut_cycles(loops, link))
+        chains = chains.unionByName(_cut_cycles(loops, link, nodes.select("kmer", F.least("kmer", "rc").alias("canon"))))
     text = chains.join(nodes.select("kmer", "n"), "kmer").groupBy("to").agg(
         F.sort_array(F.collect_list(F.struct((-F.col("steps")).alias("at"), "kmer"))).alias("path"), F.sum("n").alias("n")
     )
-    spelt = F.concat(F.col("path")[0]["kmer"], F.array_join(F.transform(F.slice("path", 2, 1 << 30), lambda x: F.right(x["kmer"], F.lit(1))), ""))
+    first = F.col("path")[0]["kmer"]
+    if k <= C.MAX_K:
+        head, last = C.text(first, k), lambda x: F.substr(F.lit(S.LETTERS), x["kmer"].bitwiseAND(3).cast("int") + 1, F.lit(1))
+    else:
+        head, last = first, lambda x: F.right(x["kmer"], F.lit(1))
+    spelt = F.concat(head, F.array_join(F.transform(F.slice("path", 2, 1 << 30), last), ""))
     both = text.select(spelt.alias("unitig"), F.size("path").cast("long").alias("kmers"), "n")
-    _ = heads
     return both.filter(S.is_canonical("unitig"))
 
 
-def _cut_cycles(loops: DataFrame, link: DataFrame) -> DataFrame:
-    """Pure cycles as chains that start at their smallest canonical k-mer: (to, kmer, steps)."""
+def _cut_cycles(loops: DataFrame, link: DataFrame, canon: DataFrame) -> DataFrame:
+    """Pure cycles as chains that start at their smallest canonical k-mer (kmer, canon): (to, kmer, steps)."""
     inner = link.join(loops, "kmer", "left_semi")
     comp = scratch.cut(connected_components(inner, a="kmer", b="next").select(F.col("vertex").alias("kmer"), "component"), "cycles")
-    least = comp.groupBy("component").agg(F.min(F.struct(S.canonical("kmer").alias("c"), "kmer")).alias("m")).select("component", F.col("m.kmer").alias("first"))
+    least = comp.join(canon, "kmer").groupBy("component").agg(F.min(F.struct("canon", "kmer")).alias("m")).select("component", F.col("m.kmer").alias("first"))
     cutlink = inner.join(comp, "kmer").join(least, "component").filter("next <> first").select("kmer", "next")
     now = scratch.cut(inner.select("kmer").join(cutlink, "kmer", "left").select("kmer", F.coalesce("next", "kmer").alias("to"), F.col("next").isNotNull().cast("long").alias("steps")), "cycle-jump")
     for _ in range(MAX_ROUNDS):

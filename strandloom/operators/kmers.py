@@ -1,17 +1,28 @@
 """K-mer operators: counts, minimizers, anchors, junctions and the edges between them.
 
-Reads are (read_id, seq) over ACGT. K-mers are exploded from an array expression,
-so a read's windows stay in the JVM; counts combine before the shuffle. With odd k
-no k-mer is its own reverse complement, and up to k = 16 the order of strings is the
-order of the sequences' numbers, so the smaller strand is the canonical one.
+Reads are (read_id, seq) over ACGT. One kernel reads a sequence once and yields its
+k-mers as numbers of two bits a letter, of both strands, for k up to 31, so a k-mer
+costs eight bytes in a shuffle and no time that grows with its place in the read; text
+is made of the few k-mers that are reported. Counts and neighbour letters combine in
+the kernel's slice and before the shuffle. Windows that hold another letter than ACGT
+are no k-mers. With odd k no k-mer is its own reverse complement; the smaller number
+is the canonical strand, as with strings.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.functions import seq as S
+from strandloom.functions import codes as C
+from strandloom.plans import scratch
+
+#: Vertices are sent to the executors up to this many bytes (eight each), else joined.
+MAX_SENT_BYTES = 32 << 20
 
 
 def letter_reads(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -28,60 +39,246 @@ def chunks(reads: DataFrame, size: int, overlap: int) -> DataFrame:
     return cut.select("read_id", F.col("pos").cast("long").alias("pos"), F.substr("seq", F.col("pos") + 1, F.lit(size)).alias("chunk"))
 
 
+def _id_type(reads: DataFrame) -> str:
+    return reads.schema["read_id"].dataType.simpleString()
+
+
+def _plain(reads: DataFrame) -> DataFrame:
+    return reads.select("read_id", "seq").filter("seq IS NOT NULL")
+
+
+def codes(reads: DataFrame, k: int) -> DataFrame:
+    """Every k-mer of every read as numbers: (read_id, pos, code, canon), 0-based."""
+    C.check_k(k)
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in C.slices(batch, "seq"):
+                for w in C.windows(*C.buffers(part.column("seq")), k):
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(w.row)), pa.array(w.pos), pa.array(w.code), pa.array(np.minimum(w.code, w.rc))], names=["read_id", "pos", "code", "canon"])
+
+    return _plain(reads).mapInArrow(scan, f"read_id {_id_type(reads)}, pos long, code long, canon long")
+
+
 def kmers(reads: DataFrame, k: int) -> DataFrame:
-    """Every k-mer of every read: (read_id, pos, kmer, canon), 0-based."""
-    rows = reads.filter(F.length("seq") >= k).select("read_id", F.posexplode(S.kmers("seq", k)).alias("pos", "kmer"))
-    return rows.select("read_id", F.col("pos").cast("long").alias("pos"), "kmer", S.canonical("kmer").alias("canon"))
+    """Every k-mer of every read as text, of any k: (read_id, pos, kmer, canon), 0-based."""
+    if k <= C.MAX_K:
+        return codes(reads, k).select("read_id", "pos", C.text(F.col("code"), k).alias("kmer"), C.text(F.col("canon"), k).alias("canon"))
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in C.slices(batch, "seq"):
+                for row, pos, kmer, rc, _, _ in C.text_windows(*C.buffers(part.column("seq")), k):
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(pos), kmer, rc], names=["read_id", "pos", "kmer", "rc"])
+
+    rows = _plain(reads).mapInArrow(scan, f"read_id {_id_type(reads)}, pos long, kmer string, rc string")
+    return rows.select("read_id", "pos", "kmer", F.least("kmer", "rc").alias("canon"))
+
+
+def code_counts(reads: DataFrame, k: int) -> DataFrame:
+    """(canon, n) of the canonical codes; a slice's repeats are one row."""
+    C.check_k(k)
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in C.slices(batch, "seq"):
+                for w in C.windows(*C.buffers(part.column("seq")), k):
+                    canon, n = np.unique(np.minimum(w.code, w.rc), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(canon), pa.array(n.astype(np.int64))], names=["canon", "n"])
+
+    return _plain(reads).mapInArrow(scan, "canon long, n long").groupBy("canon").agg(F.sum("n").alias("n"))
 
 
 def counts(reads: DataFrame, k: int) -> DataFrame:
-    return kmers(reads, k).groupBy("canon").agg(F.count("*").alias("n"))
+    return code_counts(reads, k).select(C.text(F.col("canon"), k).alias("canon"), "n")
 
 
 def spectrum(reads: DataFrame, k: int, cap: int = 200) -> DataFrame:
     """How many canonical k-mers occur n times; n above the cap as the cap."""
-    return counts(reads, k).groupBy(F.least("n", F.lit(cap)).cast("long").alias("n")).agg(F.count("*").alias("kmers"))
+    return code_counts(reads, k).groupBy(F.least("n", F.lit(cap)).cast("long").alias("n")).agg(F.count("*").alias("kmers"))
+
+
+def minimizer_codes(reads: DataFrame, k: int, w: int) -> DataFrame:
+    """(read_id, pos, code): see ``minimizers``; one pass over the reads, no shuffle."""
+    C.check_k(k)
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in C.slices(batch, "seq"):
+                for row, pos, low in C.minimizers(*C.buffers(part.column("seq")), k, w):
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(pos), pa.array(low)], names=["read_id", "pos", "code"])
+
+    return _plain(reads).mapInArrow(scan, f"read_id {_id_type(reads)}, pos long, code long")
 
 
 def minimizers(reads: DataFrame, k: int, w: int) -> DataFrame:
     """Smallest canonical k-mer of every full window of ``w`` k-mers, where it changes: (read_id, pos, minimizer); ``pos`` starts the window."""
-    by = Window.partitionBy("read_id").orderBy("pos")
-    n = F.count("*").over(Window.partitionBy("read_id"))
-    slid = kmers(reads.filter(F.length("seq") >= w + k - 1), k).select("read_id", "pos", F.min("canon").over(by.rowsBetween(0, w - 1)).alias("minimizer"), n.alias("n"))
-    full = slid.filter(F.col("pos") <= F.col("n") - w)
-    return full.withColumn("before", F.lag("minimizer").over(by)).filter("before IS NULL OR before <> minimizer").select("read_id", "pos", "minimizer")
+    return minimizer_codes(reads, k, w).select("read_id", "pos", C.text(F.col("code"), k).alias("minimizer"))
 
 
-def anchors(seqs: DataFrame, k: int, w: int) -> DataFrame:
+def anchor_codes(seqs: DataFrame, k: int, w: int) -> DataFrame:
     """Every w-th inner k-mer position of each sequence, the first one of a k-mer: (canon, read_id, pos, forward)."""
-    inner = kmers(seqs, k).withColumn("n", F.max("pos").over(Window.partitionBy("read_id"))).filter((F.col("pos") % w == 0) & (F.col("pos") > 0) & (F.col("pos") < F.col("n")))
-    return inner.groupBy("canon").agg(F.min(F.struct("read_id", "pos", (F.col("kmer") == F.col("canon")).alias("forward"))).alias("a")).select("canon", "a.*")
+    n = F.length("seq") - k
+    last = seqs.select("read_id", n.alias("n"))
+    inner = codes(seqs, k).filter((F.col("pos") % w == 0) & (F.col("pos") > 0)).join(last, "read_id").filter(F.col("pos") < F.col("n"))
+    return inner.groupBy("canon").agg(F.min(F.struct("read_id", "pos", (F.col("code") == F.col("canon")).alias("forward"))).alias("a")).select("canon", "a.*")
+
+
+def anchors(seqs: DataFrame, k: int, w: int) -> DataFrame:
+    """``anchor_codes`` with the k-mers as text."""
+    return anchor_codes(seqs, k, w).withColumn("canon", C.text(F.col("canon"), k))
+
+
+def nodes(reads: DataFrame, k: int) -> DataFrame:
+    """Every k-mer of both strands: (kmer, rc, mask, n).
+
+    ``mask`` has the letters seen before it (low four bits, A C G T) and after it,
+    ``n`` its occurrences. k-mers are codes up to k = 31 and text beyond. A slice's
+    repeats are one row.
+    """
+    small = k <= C.MAX_K
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in C.slices(batch, "seq"):
+                data, off = C.buffers(part.column("seq"))
+                if small:
+                    for w in C.windows(data, off, k):
+                        here, there = C.masks(w.prev, w.next)
+                        cols = C.combine(np.concatenate([w.code, w.rc]), np.concatenate([w.rc, w.code]), np.concatenate([here, there]))
+                        yield pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(cols, ("i8", "i8", "i4", "i8"), strict=True)], names=["kmer", "rc", "mask", "n"])
+                else:
+                    for _, _, kmer, rc, prev, after in C.text_windows(data, off, k):
+                        for a, b, mask in zip((kmer, rc), (rc, kmer), C.masks(prev, after), strict=True):
+                            yield pa.RecordBatch.from_arrays([a, b, pa.array(mask.astype(np.int32)), pa.array(np.ones(len(a), np.int64))], names=["kmer", "rc", "mask", "n"])
+
+    kind = "long" if small else "string"
+    return _plain(reads).mapInArrow(scan, f"kmer {kind}, rc {kind}, mask int, n long").groupBy("kmer", "rc").agg(F.bit_or("mask").alias("mask"), F.sum("n").alias("n"))
+
+
+def only_letter(low: int) -> Column:
+    """The place in ACGT of the single letter of a mask's four bits from bit ``low`` on; null if there are none or several."""
+    bits = F.shiftright(F.col("mask"), low).bitwiseAND(15)
+    return F.when(F.bit_count(bits) == 1, F.log2(bits).cast("int"))
 
 
 def neighbours(reads: DataFrame, k: int) -> DataFrame:
-    """Every k-mer of both strands with the letters before and after: (kmer, prev, next)."""
-    km = reads.filter(F.length("seq") >= k).select("seq", F.posexplode(S.kmers("seq", k)).alias("pos", "kmer"))
-    near = km.select("kmer", F.nullif(F.substr("seq", F.col("pos"), F.when(F.col("pos") > 0, 1).otherwise(0)), F.lit("")).alias("prev"), F.nullif(F.substr("seq", F.col("pos") + k + 1, F.lit(1)), F.lit("")).alias("next"))
-    return near.unionByName(near.select(S.rev_comp("kmer").alias("kmer"), S.complement("next").alias("prev"), S.complement("prev").alias("next")))
+    """Distinct k-mers of both strands with each letter before and after: (kmer, prev, next), one side of a row filled."""
+    seen = [F.when(F.col("mask").bitwiseAND(1 << i) != 0, F.struct(F.lit(c if i < 4 else None).cast("string").alias("prev"), F.lit(c if i >= 4 else None).cast("string").alias("next"))) for i, c in enumerate("ACGT" * 2)]
+    sides = F.filter(F.array(*seen), lambda x: x.isNotNull())
+    return nodes(reads, k).select(_text(k).alias("kmer"), F.explode_outer(sides).alias("s")).select("kmer", "s.prev", "s.next")
+
+
+def _text(k: int) -> Column:
+    return C.text(F.col("kmer"), k) if k <= C.MAX_K else F.col("kmer")
+
+
+def _junctions(reads: DataFrame, k: int) -> DataFrame:
+    m = F.col("mask")
+    deg = nodes(reads, k).select("kmer", F.bit_count(m.bitwiseAND(15)).cast("long").alias("in_deg"), F.bit_count(m.bitwiseAND(240)).cast("long").alias("out_deg"))
+    return deg.filter("in_deg <> 1 OR out_deg <> 1")
+
+
+def junction_codes(reads: DataFrame, k: int) -> DataFrame:
+    """K-mers of both strands without exactly one letter before and one after: (code, in_deg, out_deg)."""
+    C.check_k(k)
+    return _junctions(reads, k).withColumnRenamed("kmer", "code")
 
 
 def junctions(reads: DataFrame, k: int) -> DataFrame:
-    """K-mers of both strands without exactly one letter before and one after: (kmer, in_deg, out_deg)."""
-    deg = neighbours(reads, k).groupBy("kmer").agg(*[F.max(F.when(F.col(s) == c, 1).otherwise(0)).alias(f"{s}{c}") for s in ("prev", "next") for c in S.LETTERS])
-    total = {s: sum((F.col(f"{s}{c}") for c in S.LETTERS), F.lit(0)).cast("long") for s in ("prev", "next")}
-    return deg.select("kmer", total["prev"].alias("in_deg"), total["next"].alias("out_deg")).filter("in_deg <> 1 OR out_deg <> 1")
+    """``junction_codes`` with the k-mers as text: (kmer, in_deg, out_deg)."""
+    return _junctions(reads, k).withColumn("kmer", _text(k))
+
+
+def _vertex_codes(vertices: DataFrame, k: int) -> DataFrame:
+    known = vertices.select("code") if "code" in vertices.columns else vertices.select(C.code(F.col("kmer")).alias("code"))
+    return scratch.cut(known.distinct(), "vertices")
+
+
+def _sent(vertices: DataFrame, max_bytes: int) -> np.ndarray | None:
+    """All codes in order if they may be sent, by their number."""
+    if 8 * vertices.count() > max_bytes:
+        return None
+    return np.sort(vertices.toArrow().column("code").to_numpy())
+
+
+def _held(codes: np.ndarray, among: np.ndarray) -> np.ndarray:
+    at = np.searchsorted(among, codes)
+    return np.flatnonzero(among[np.minimum(at, len(among) - 1)] == codes) if len(among) else at[:0]
+
+
+def hit_codes(reads: DataFrame, vertices: DataFrame, k: int, max_bytes: int = MAX_SENT_BYTES) -> DataFrame:
+    """Positions of the reads' k-mers that are vertices (column code or kmer): (read_id, pos, code).
+
+    The vertices are sent to the executors if their counted number allows it, else
+    all k-mers meet them in a join.
+    """
+    known = _vertex_codes(vertices, k)
+    sent = _sent(known, max_bytes)
+    if sent is None:
+        return codes(reads, k).select("read_id", "pos", "code").join(known, "code", "left_semi").select("read_id", "pos", "code")
+    table = reads.sparkSession.sparkContext.broadcast(sent)
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in C.slices(batch, "seq"):
+                for w in C.windows(*C.buffers(part.column("seq")), k):
+                    at = _held(w.code, table.value)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(w.row[at])), pa.array(w.pos[at]), pa.array(w.code[at])], names=["read_id", "pos", "code"])
+
+    return _plain(reads).mapInArrow(scan, f"read_id {_id_type(reads)}, pos long, code long")
 
 
 def hits(reads: DataFrame, vertices: DataFrame, k: int) -> DataFrame:
-    """Positions of the reads' k-mers that are vertices: (read_id, pos, kmer)."""
-    return kmers(reads, k).select("read_id", "pos", "kmer").join(vertices.select("kmer"), "kmer", "left_semi").select("read_id", "pos", "kmer")
+    """``hit_codes`` with the k-mers as text: (read_id, pos, kmer)."""
+    return hit_codes(reads, vertices, k).select("read_id", "pos", C.text(F.col("code"), k).alias("kmer"))
+
+
+_LINK = "pos long, src string, dst string, label string"
+
+
+def _cut_links(ids: pa.Array, data: np.ndarray, row: np.ndarray, pos: np.ndarray, off: np.ndarray, k: int) -> pa.RecordBatch:
+    """Links between neighbouring hits (in order) of a row."""
+    at = np.flatnonzero(row[1:] == row[:-1])
+    a, b = off[row[at]] + pos[at], off[row[at + 1]] + pos[at + 1]
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(row[at])), pa.array(pos[at]), C.cut(data, a, a + k), C.cut(data, b, b + k), C.cut(data, a + k, b + k)], names=["read_id", "pos", "src", "dst", "label"])
+
+
+def links(reads: DataFrame, vertices: DataFrame, k: int, max_bytes: int = MAX_SENT_BYTES) -> DataFrame:
+    """Consecutive vertex hits of each read: (read_id, pos, src, dst, label); the label is what the step adds.
+
+    One pass over the reads if the vertices can be sent; else each read gets its hits
+    by a join and its labels are cut where the read is, so no letter moves twice.
+    """
+    known = _vertex_codes(vertices, k)
+    sent = _sent(known, max_bytes)
+    schema = f"read_id {_id_type(reads)}, {_LINK}"
+    if sent is None:
+        held = codes(reads, k).select("read_id", "pos", "code").join(known, "code", "left_semi").groupBy("read_id").agg(F.sort_array(F.collect_list("pos")).alias("at"))
+
+        def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in C.slices(batch, "seq"):
+                    data, off = C.buffers(part.column("seq"))
+                    at = part.column("at")
+                    row = np.repeat(np.arange(part.num_rows), at.value_lengths().to_numpy(zero_copy_only=False))
+                    yield _cut_links(part.column(0), data, row, at.flatten().to_numpy(zero_copy_only=False), off, k)
+
+        return _plain(reads).join(held, "read_id").select("read_id", "seq", "at").mapInArrow(cut, schema)
+    table = reads.sparkSession.sparkContext.broadcast(sent)
 
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in C.slices(batch, "seq"):
+                data, off = C.buffers(part.column("seq"))
+                row, pos = np.zeros(0, np.int64), np.zeros(0, np.int64)
+                for w in C.windows(data, off, k):
+                    at = _held(w.code, table.value)
+                    row, pos = np.append(row, w.row[at]), np.append(pos, w.pos[at])
+                    yield _cut_links(part.column(0), data, row, pos, off, k)
+                    row, pos = row[-1:], pos[-1:]  # the next link begins here
 
-def links(reads: DataFrame, vertices: DataFrame, k: int) -> DataFrame:
-    """Consecutive vertex hits of each read: (read_id, pos, src, dst, label); the label is what the step adds."""
-    by = Window.partitionBy("read_id").orderBy("pos")
-    steps = hits(reads, vertices, k).withColumns({"dst": F.lead("kmer").over(by), "to": F.lead("pos").over(by)}).filter("dst IS NOT NULL")
-    return steps.join(reads, "read_id").select("read_id", "pos", F.col("kmer").alias("src"), "dst", F.substr("seq", F.col("pos") + k + 1, F.col("to") - F.col("pos")).alias("label"))
+    return _plain(reads).mapInArrow(scan, schema)
 
 
 def edges(reads: DataFrame, vertices: DataFrame, k: int) -> DataFrame:

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandloom.functions import codes as C
 from strandloom.functions import segments as G
 from strandloom.functions import seq as S
 from strandloom.operators import graph, intervals, kmers, paths
@@ -74,14 +75,17 @@ _CONTIGS = "contigs AS (SELECT item_id AS read_id, translate(regexp_replace(lowe
 
 
 def _km(of: str, name: str = "km", k: int = K) -> str:
-    return f"{name} AS (SELECT read_id, (p - 1)::BIGINT AS pos, substr(seq, p, {k}) AS kmer, least(substr(seq, p, {k}), {_rc(f'substr(seq, p, {k})')}) AS canon, seq FROM (SELECT read_id, seq, unnest(range(1, length(seq) - {k - 2})) AS p FROM {of} WHERE length(seq) >= {k}))"
+    """k-mers of ``of`` with their neighbour letters; reads are cut into parts first, as a substring's cost grows with its place."""
+    parts = f"SELECT read_id, length(seq) AS len, o, substr('$' || seq || '$', o + 1, {256 + k + 1}) AS part FROM (SELECT read_id, seq, unnest(range(0, length(seq) - {k - 1}, 256)) AS o FROM {of} WHERE length(seq) >= {k})"
+    cut = f"SELECT read_id, len, (o + j)::BIGINT AS pos, substr(part, j + 2, {k}) AS kmer, nullif(substr(part, j + 1, 1), '$') AS prv, nullif(substr(part, j + {k + 2}, 1), '$') AS nxt FROM (SELECT *, unnest(range(0, least(256, len - {k - 1} - o))) AS j FROM ({parts}))"
+    return f"{name} AS (SELECT *, least(kmer, {_rc('kmer')}) AS canon FROM ({cut}))"
 
 
-_JUNCTIONS = f"""near AS (SELECT kmer, nullif(CASE WHEN pos > 0 THEN substr(seq, pos, 1) ELSE '' END, '') AS prv, nullif(substr(seq, pos + {K + 1}, 1), '') AS nxt FROM km),
-both_ AS (SELECT kmer, prv, nxt FROM near UNION ALL SELECT {_rc('kmer')}, translate(nxt, 'ACGT', 'TGCA'), translate(prv, 'ACGT', 'TGCA') FROM near),
+_JUNCTIONS = f"""both_ AS (SELECT kmer, prv, nxt FROM km UNION ALL SELECT {_rc('kmer')}, translate(nxt, 'ACGT', 'TGCA'), translate(prv, 'ACGT', 'TGCA') FROM km),
 junctions AS (SELECT kmer, count(DISTINCT prv) AS in_deg, count(DISTINCT nxt) AS out_deg FROM both_ GROUP BY kmer HAVING count(DISTINCT prv) <> 1 OR count(DISTINCT nxt) <> 1)"""
-_LINKS = f"""links AS (SELECT * FROM (SELECT read_id, pos, kmer AS src, lead(kmer) OVER w AS dst, substr(seq, pos + {K + 1}, lead(pos) OVER w - pos) AS label
-  FROM km SEMI JOIN junctions USING (kmer) WINDOW w AS (PARTITION BY read_id ORDER BY pos)) WHERE dst IS NOT NULL)"""
+_LINKS = f"""steps AS (SELECT read_id, pos, kmer AS src, lead(kmer) OVER w AS dst, lead(pos) OVER w - pos AS d FROM km SEMI JOIN junctions USING (kmer) WINDOW w AS (PARTITION BY read_id ORDER BY pos)),
+links AS (SELECT read_id, pos, src, dst, right(dst, d) AS label FROM steps WHERE d <= {K} UNION ALL
+  SELECT s.read_id, pos, src, dst, substr(seq, pos + {K + 1}, d) FROM steps s JOIN reads r ON r.read_id = s.read_id WHERE d > {K})"""
 _JG = f"WITH {_READS}, {_km('reads')}, {_JUNCTIONS}"
 _PATHS = "paths AS (SELECT user_id AS path_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ord, event_type AS eid FROM events)"
 _TRADE = "trade AS (SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS dst, sum(l_quantity)::BIGINT AS len, count(*) AS cov FROM lineitem GROUP BY ALL)"
@@ -212,12 +216,12 @@ def final_contigs(spark, d):
 
 @query(f"WITH {_READS}, {_km('reads')} SELECT DISTINCT read_id FROM (SELECT read_id FROM km GROUP BY read_id, kmer HAVING count(*) > 1)")
 def self_repeating_reads(spark, d):
-    return kmers.kmers(reads(spark, d), K).groupBy("read_id", "kmer").count().filter("count > 1").select("read_id").distinct()
+    return kmers.codes(reads(spark, d), K).groupBy("read_id", "code").count().filter("count > 1").select("read_id").distinct()
 
 
 # --- minimizers, anchors, hits -------------------------------------------------------------------
 
-_MINI = f"""WITH {_READS}, {_km('reads')}, mm AS (SELECT read_id, pos, min(canon) OVER (PARTITION BY read_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {W - 1} FOLLOWING) AS minimizer, count(*) OVER (PARTITION BY read_id) AS n FROM km WHERE length(seq) >= {K + W - 1}),
+_MINI = f"""WITH {_READS}, {_km('reads')}, mm AS (SELECT read_id, pos, min(canon) OVER (PARTITION BY read_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {W - 1} FOLLOWING) AS minimizer, count(*) OVER (PARTITION BY read_id) AS n FROM km WHERE len >= {K + W - 1}),
 mf AS (SELECT read_id, pos, minimizer, lag(minimizer) OVER (PARTITION BY read_id ORDER BY pos) AS before FROM mm WHERE pos <= n - {W}), mins AS (SELECT read_id, pos, minimizer FROM mf WHERE before IS NULL OR before <> minimizer)"""
 
 
@@ -228,7 +232,7 @@ def minimizers(spark, d):
 
 @query(f"{_MINI} SELECT DISTINCT minimizer FROM mins")
 def minimizer_set(spark, d):
-    return kmers.minimizers(reads(spark, d), K, W).select("minimizer").distinct()
+    return kmers.minimizer_codes(reads(spark, d), K, W).select("code").distinct().select(C.text(F.col("code"), K).alias("minimizer"))
 
 
 _ANCHOR = f"""anchors AS (SELECT canon, arg_min(read_id, (read_id, pos)) AS read_id, arg_min(pos, (read_id, pos)) AS pos, arg_min(kmer = canon, (read_id, pos)) AS forward FROM
@@ -242,20 +246,20 @@ def anchors(spark, d):
 
 @query(f"WITH {_READS}, {_CONTIGS}, {_km('reads')}, {_km('contigs', 'ckm')}, {_ANCHOR} SELECT km.read_id, km.pos, a.read_id AS contig, a.pos AS contig_pos, (km.kmer = km.canon) = a.forward AS same_strand FROM km JOIN anchors a USING (canon)")
 def anchor_hits(spark, d):
-    a = kmers.anchors(contigs(spark, d), K, W).withColumnsRenamed({"read_id": "contig", "pos": "contig_pos"})
-    return kmers.kmers(reads(spark, d), K).join(a, "canon").select("read_id", "pos", "contig", "contig_pos", ((F.col("kmer") == F.col("canon")) == F.col("forward")).alias("same_strand"))
+    a = kmers.anchor_codes(contigs(spark, d), K, W).withColumnsRenamed({"read_id": "contig", "pos": "contig_pos"})
+    return kmers.codes(reads(spark, d), K).join(a, "canon").select("read_id", "pos", "contig", "contig_pos", ((F.col("code") == F.col("canon")) == F.col("forward")).alias("same_strand"))
 
 
 @query(f"WITH {_READS}, {_CONTIGS}, {_km('reads')}, {_km('contigs', 'ckm')} SELECT read_id, count(*) AS known FROM km SEMI JOIN ckm USING (canon) GROUP BY read_id")
 def known_kmers(spark, d):
-    c = kmers.kmers(contigs(spark, d), K).select("canon")
-    return kmers.kmers(reads(spark, d), K).join(c, "canon", "left_semi").groupBy("read_id").agg(F.count("*").alias("known"))
+    c = kmers.codes(contigs(spark, d), K).select("canon")
+    return kmers.codes(reads(spark, d), K).join(c, "canon", "left_semi").groupBy("read_id").agg(F.count("*").alias("known"))
 
 
 @query(f"WITH {_READS}, {_CONTIGS}, {_km('reads')}, {_km('contigs', 'ckm')} SELECT DISTINCT km.read_id, c.read_id AS contig, c.pos - km.pos AS diagonal FROM km JOIN (SELECT * FROM ckm WHERE pos % {W} = 0) c ON km.kmer = c.kmer")
 def seed_diagonals(spark, d):
-    c = kmers.kmers(contigs(spark, d), K).filter(F.col("pos") % W == 0).select(F.col("read_id").alias("contig"), F.col("pos").alias("cpos"), "kmer")
-    return kmers.kmers(reads(spark, d), K).join(c, "kmer").select("read_id", "contig", (F.col("cpos") - F.col("pos")).alias("diagonal")).distinct()
+    c = kmers.codes(contigs(spark, d), K).filter(F.col("pos") % W == 0).select(F.col("read_id").alias("contig"), F.col("pos").alias("cpos"), "code")
+    return kmers.codes(reads(spark, d), K).join(c, "code").select("read_id", "contig", (F.col("cpos") - F.col("pos")).alias("diagonal")).distinct()
 
 
 @query(f"""WITH {_READS}, {_CONTIGS}, {_km('reads')}, {_km('contigs', 'ckm')}, m AS (SELECT km.read_id, c.read_id AS contig, km.pos, c.pos - km.pos AS diagonal FROM km JOIN ckm c ON km.kmer = c.kmer),
@@ -263,8 +267,8 @@ i AS (SELECT *, pos - row_number() OVER (PARTITION BY read_id, contig, diagonal
 SELECT read_id, contig, min(pos) AS r_from, max(pos) + {K} AS r_to, min(pos) + diagonal AS c_from, max(pos) + {K} + diagonal AS c_to FROM i GROUP BY read_id, contig, diagonal, run""")
 def diagonal_runs(spark, d):
     """Maximal exact matches of K letters or more between reads and contigs: seeds of one diagonal, joined while they follow each other."""
-    c = kmers.kmers(contigs(spark, d), K).select(F.col("read_id").alias("contig"), F.col("pos").alias("cpos"), "kmer")
-    m = kmers.kmers(reads(spark, d), K).join(c, "kmer").select("read_id", "contig", "pos", (F.col("cpos") - F.col("pos")).alias("diagonal"))
+    c = kmers.codes(contigs(spark, d), K).select(F.col("read_id").alias("contig"), F.col("pos").alias("cpos"), "code")
+    m = kmers.codes(reads(spark, d), K).join(c, "code").select("read_id", "contig", "pos", (F.col("cpos") - F.col("pos")).alias("diagonal"))
     run = F.col("pos") - F.row_number().over(Window.partitionBy("read_id", "contig", "diagonal").orderBy("pos"))
     ends = m.withColumn("run", run).groupBy("read_id", "contig", "diagonal", "run").agg(F.min("pos").alias("r_from"), (F.max("pos") + K).alias("r_to"))
     return ends.select("read_id", "contig", "r_from", "r_to", (F.col("r_from") + F.col("diagonal")).alias("c_from"), (F.col("r_to") + F.col("diagonal")).alias("c_to"))
@@ -292,13 +296,13 @@ def junctions(spark, d):
 @query(f"{_JG}, {_LINKS} SELECT src, dst, label, count(*) AS n FROM links GROUP BY ALL")
 def edges_between_junctions(spark, d):
     r = reads(spark, d)
-    return kmers.edges(r, kmers.junctions(r, K), K)
+    return kmers.edges(r, kmers.junction_codes(r, K), K)
 
 
 @query(f"{_JG} SELECT kmer, count(*) AS visits FROM (SELECT kmer, lag(kmer) OVER (PARTITION BY read_id ORDER BY pos) AS before FROM km SEMI JOIN junctions USING (kmer)) WHERE before IS NULL OR before <> kmer GROUP BY kmer")
 def vertex_coverage(spark, d):
     r = reads(spark, d)
-    h = kmers.hits(r, kmers.junctions(r, K), K)
+    h = kmers.hits(r, kmers.junction_codes(r, K), K)
     return h.withColumn("before", F.lag("kmer").over(Window.partitionBy("read_id").orderBy("pos"))).filter("before IS NULL OR before <> kmer").groupBy("kmer").agg(F.count("*").alias("visits"))
 
 
@@ -314,7 +318,7 @@ def edge_coverage(spark, d):
 def edge_twins(spark, d):
     """Edges with whether their reverse complement is an edge too, and whether they are their own."""
     r = reads(spark, d)
-    e = kmers.links(r, kmers.junctions(r, K), K).select("src", "dst", "label").distinct().withColumn("whole", F.concat("src", "label"))
+    e = kmers.links(r, kmers.junction_codes(r, K), K).select("src", "dst", "label").distinct().withColumn("whole", F.concat("src", "label"))
     f = e.select(S.rev_comp("whole").alias("whole"), F.lit(True).alias("twin"))
     return e.join(f, "whole", "left").select("src", "dst", "label", F.coalesce("twin", F.lit(False)).alias("has_twin"), (F.col("whole") == S.rev_comp("whole")).alias("own_twin"))
 
@@ -322,7 +326,7 @@ def edge_twins(spark, d):
 @query(f"{_JG}, {_LINKS}, e AS (SELECT DISTINCT src, dst, label FROM links), {_DEG.format('e')} SELECT vertex, in_deg, out_deg, CASE WHEN in_deg = 0 OR out_deg = 0 THEN 'tip' WHEN in_deg = 1 AND out_deg = 1 THEN 'unbranching' ELSE 'junction' END AS kind FROM deg")
 def vertex_kinds(spark, d):
     r = reads(spark, d)
-    return graph.degrees(kmers.links(r, kmers.junctions(r, K), K).select("src", "dst", "label").distinct()).withColumn("kind", graph.kind())
+    return graph.degrees(kmers.links(r, kmers.junction_codes(r, K), K).select("src", "dst", "label").distinct()).withColumn("kind", graph.kind())
 
 
 @query(f"{_JG}, h AS (SELECT read_id, pos, kmer, lag(kmer) OVER w AS k0, lead(kmer) OVER w AS k2, pos - lag(pos) OVER w AS d0, lead(pos) OVER w - pos AS d2 FROM km SEMI JOIN junctions USING (kmer) WINDOW w AS (PARTITION BY read_id ORDER BY pos)) SELECT read_id, pos, kmer FROM h WHERE NOT coalesce(k0 = kmer AND k2 = kmer AND d0 = d2 AND d0 < {K}, false)")
@@ -332,14 +336,14 @@ def steady_hits(spark, d):
     by = Window.partitionBy("read_id").orderBy("pos")
     k0, k2, d0, d2 = F.lag("kmer").over(by), F.lead("kmer").over(by), F.col("pos") - F.lag("pos").over(by), F.lead("pos").over(by) - F.col("pos")
     skip = F.coalesce((k0 == F.col("kmer")) & (k2 == F.col("kmer")) & (d0 == d2) & (d0 < K), F.lit(False))
-    return kmers.hits(r, kmers.junctions(r, K), K).withColumn("skip", skip).filter("NOT skip").select("read_id", "pos", "kmer")
+    return kmers.hits(r, kmers.junction_codes(r, K), K).withColumn("skip", skip).filter("NOT skip").select("read_id", "pos", "kmer")
 
 
 @query(f"{_JG}, {_LINKS}, e AS (SELECT DISTINCT src, dst, label FROM links) SELECT a.src, a.dst AS mid, b.dst, a.label || b.label AS label FROM e a JOIN e b ON a.dst = b.src")
 def passages(spark, d):
-    """Edges into a vertex with edges out of it."""
+    """Edges into a vertex with edges out of it; at most four of each, as the letter next to a junction fixes the way to the next one."""
     r = reads(spark, d)
-    e = kmers.links(r, kmers.junctions(r, K), K).select("src", "dst", "label").distinct()
+    e = kmers.links(r, kmers.junction_codes(r, K), K).select("src", "dst", "label").distinct()
     out = e.select(F.col("src").alias("mid"), F.col("dst").alias("end"), F.col("label").alias("more"))
     return e.select("src", F.col("dst").alias("mid"), "label").join(out, "mid").select("src", "mid", F.col("end").alias("dst"), F.concat("label", "more").alias("label"))
 

@@ -11,7 +11,6 @@ from strandloom.plans.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-FAST = sorted(set(SQL) - {"edges_between_junctions", "vertex_coverage", "edge_coverage", "edge_twins", "vertex_kinds", "steady_hits"})
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="needs the test tables")
 
 
@@ -31,7 +30,7 @@ def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES) and len(SQL) > 70
 
 
-@pytest.mark.parametrize("name", FAST)
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_same_rows(spark, con, name):
     df = QUERIES[name](spark, SF)
     rel = con.sql(SQL[name])
