@@ -10,7 +10,9 @@ adds them up by document in NumPy, one pass, no shuffle.
 
 The score is the posterior of the predicted language. Edge cases: a text that is
 null or has no letter is ``und`` with score 0, as is every text when nothing was
-learned; ties go to the first language by name; a null lang never trains.
+learned; ties go to the first language by name; a null lang never trains; a very long
+text counts whole; rows that repeat a doc_id are learned and judged row by row; extra
+columns are kept, and lang_pred and score replaced.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from strandloom.llm.common import hash_sample, project
 BITS, ORDER, SMOOTHING = 15, 3, 0.5
 #: Labelled documents read for the fit at most.
 MAX_TRAIN_DOCS = 12_000
+#: Each task's counts of a language travel in so many parts, so one language is summed in several tasks of a few MB.
+PARTS = 32
 UNKNOWN = "und"
 _MIX = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 
@@ -99,24 +103,28 @@ def fit(docs: DataFrame, usable: Column, max_train_docs: int = MAX_TRAIN_DOCS) -
                     got = np.bincount(bucket[code[row] == k], minlength=1 << BITS)
                     total[name] = total.get(name, 0) + got
                     seen[name] = seen.get(name, 0) + int((code == k).sum())
-        yield _counts(total, seen)
+        for name in sorted(total):
+            parts = total[name].astype(np.int64).reshape(PARTS, -1)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name] * PARTS), pa.array(np.arange(PARTS, dtype=np.int32)), pa.array([seen[name]] + [0] * (PARTS - 1), pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary())],
+                names=["lang", "part", "docs", "counts"],
+            )
 
     def add(table: pa.Table) -> pa.Table:
-        name = table.column("lang")[0].as_py()
-        total = sum(np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist())
-        return pa.Table.from_batches([_counts({name: total}, {name: pc.sum(table.column("docs")).as_py()})])
-
-    schema = "lang string, docs long, counts binary"
-    rows = marked.join(keys, "doc_id", "left_semi").select("lang", "text").mapInArrow(count, schema).groupBy("lang").applyInArrow(add, schema).collect()
-    rows = sorted(rows, key=lambda r: r["lang"])
-    counts = np.array([np.frombuffer(bytes(r["counts"]), np.int64) for r in rows], float).reshape(len(rows), 1 << BITS) + SMOOTHING
-    docs_seen = np.array([r["docs"] for r in rows], float)
-    return LanguageModel([r["lang"] for r in rows], np.log(counts / counts.sum(1, keepdims=True)), np.log(docs_seen / max(docs_seen.sum(), 1)))
-
-
-def _counts(total: dict[str, np.ndarray], seen: dict[str, int]) -> pa.RecordBatch:
-    names = sorted(total)
-    return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([seen[x] for x in names], pa.int64()), pa.array([total[x].astype(np.int64).tobytes() for x in names], pa.binary())], names=["lang", "docs", "counts"])
+        total = np.zeros((1 << BITS) // PARTS, np.int64)
+        for x in table.column("counts"):
+            total += np.frombuffer(x.as_buffer(), np.int64)
+        return pa.table({"lang": table.column("lang").slice(0, 1), "part": table.column("part").slice(0, 1), "docs": pa.array([pc.sum(table.column("docs")).as_py()], pa.int64()), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    schema = "lang string, part int, docs long, counts binary"
+    found = marked.join(keys, "doc_id", "left_semi").select("lang", "text").mapInArrow(count, schema).groupBy("lang", "part").applyInArrow(add, schema).collect()  # languages x 256 KB
+    langs = sorted({r["lang"] for r in found})
+    counts, docs_seen = np.zeros((len(langs), PARTS, (1 << BITS) // PARTS)), np.zeros(len(langs))
+    for r in found:
+        counts[langs.index(r["lang"]), r["part"]] = np.frombuffer(bytes(r["counts"]), np.int64)
+        docs_seen[langs.index(r["lang"])] += r["docs"]
+    counts = counts.reshape(len(langs), 1 << BITS) + SMOOTHING
+    return LanguageModel(langs, np.log(counts / counts.sum(1, keepdims=True)), np.log(docs_seen / max(docs_seen.sum(), 1)))
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:

@@ -27,9 +27,13 @@ sets (32-bit hashes), at ``threshold`` = 4/5 or more.
 Buckets, pairs and classes are DataFrames; the driver sees counts only. Shuffles
 carry band keys and ids; shingle sets move only for documents that are compared.
 
+The result names each document's class and no number of links: links are found until
+a group is connected, so most pairs inside a group are never compared.
+
 Edge cases: a null doc_id is left out; a text without words is alone in its
-class; rows that repeat a doc_id are one document if any of their texts match;
-an empty table gives an empty result.
+class; rows that repeat a doc_id are one document if any of their texts match; a
+very long text is signed whole; ties in popularity go to the smaller doc_id; extra
+columns are ignored, by ``keep_one`` kept; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -167,14 +171,14 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int] = THRES
 
 
 def _possible(threshold: tuple[int, int]):
-    """Sizes alone allow the similarity: the smaller over the larger set bounds it."""
-    return F.least("n", "hub.n") * threshold[1] >= F.greatest("n", "hub.n") * threshold[0]
+    """Sizes alone allow the similarity: the smaller over the larger set bounds it (of a doc_id with several texts: any of them)."""
+    return F.least("n_most", "hub.n_most") * threshold[1] >= F.greatest("n", "hub.n") * threshold[0]
 
 
 def _map_allows(threshold: tuple[int, int]):
     """The maps leave enough common shingles: at most those of one side without the bits that only it has."""
     alone = sum((F.bit_count(F.col(f"m{i}").bitwiseAND(F.bitwise_not(f"h{i}"))) for i in range(MAP_WORDS)), F.lit(0))
-    return (F.col("n") - alone) * (threshold[0] + threshold[1]) >= (F.col("n") + F.col("hub.n")) * threshold[0]
+    return (F.col("n_most") - alone) * (threshold[0] + threshold[1]) >= (F.col("n") + F.col("hub.n")) * threshold[0]
 
 
 def classes(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
@@ -184,22 +188,24 @@ def classes(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, hub_rounds:
     firsts = signed.groupBy(*copy).agg(F.min(F.struct("doc_id", "n")).alias("r")).select(*copy, F.col("r.doc_id").alias("rep"), F.col("r.n").alias("n"))
     firsts = scratch.cut(firsts, "copies")
     bands = signed.filter("n > 0").select("doc_id", "n", "bands").join(firsts.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    bands = scratch.cut(bands.select("doc_id", "n", F.explode("bands").alias("band")).groupBy("band", "doc_id").agg(F.max("n").alias("n")), "bands")
+    bands = scratch.cut(bands.select("doc_id", "n", F.explode("bands").alias("band")).groupBy("band", "doc_id").agg(F.min("n").alias("n"), F.max("n").alias("n_most")), "bands")
     sets = signed.filter("n > 0").select("doc_id", "shingles")
     shared = bands.join(bands.groupBy("band").agg(F.count("*").alias("m")).filter("m > 1"), "band")
     # the popular member of a bucket shares most buckets with others: the source of a group of variants
     popular = shared.groupBy("doc_id").agg((-F.sum("m")).alias("rank"))
-    members = scratch.cut(shared.join(popular, "doc_id").select("band", "doc_id", "n", "rank"), "members")
+    members = scratch.cut(shared.join(popular, "doc_id").select("band", "doc_id", "n", "n_most", "rank"), "members")
     stars = docs.sparkSession.createDataFrame([], "a long, b long")
     first_hub = None
     for turn in range(hub_rounds + 1):
         named = _with_class(members, stars)
         if first_hub is None:
-            spans = named.groupBy("band").agg(F.min(F.struct("rank", "doc_id", "n", "class")).alias("hub"))
+            spans = named.groupBy("band").agg(F.min(F.struct("rank", "doc_id", "n", "n_most", "class")).alias("hub"))
             first_hub = spans.select("band", F.col("hub.doc_id").alias("h1"))
         else:
             old = _with_class(first_hub.withColumnRenamed("h1", "doc_id"), stars).select("band", F.col("class").alias("h1_class"))
-            spans = named.join(old, "band").groupBy("band").agg(F.min("class").alias("c0"), F.max("class").alias("c1"), F.min(F.struct(F.col("class") == F.col("h1_class"), "rank", "doc_id", "n", "class")).alias("hub")).filter("c0 <> c1").select("band", "hub")
+            spans = named.join(old, "band").groupBy("band").agg(F.min("class").alias("c0"), F.max("class").alias("c1"), F.min(F.struct(F.col("class") == F.col("h1_class"), "rank", "doc_id", "n", "n_most", "class")).alias("hub")).filter("c0 <> c1").select("band", "hub")
+        # written, so that both sides of the join are plain and Spark can split a large bucket
+        spans = scratch.cut(spans, "spans")
         left = scratch.cut(named.join(spans, "band"), "members")
         if left.isEmpty():
             break
@@ -207,11 +213,13 @@ def classes(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, hub_rounds:
             first_hub = scratch.cut(first_hub, "hubs")
         if turn < hub_rounds:
             met = left.filter("doc_id <> hub.doc_id")
-            members = met.select("band", "doc_id", "n", "rank")
+            members = met.select("band", "doc_id", "n", "n_most", "rank")
         else:  # the rest: all pairs of a bucket that are in different classes and may be similar
-            maps = signed.groupBy("doc_id").agg(F.first("map").alias("map")).select("doc_id", *[F.col("map")[i].alias(f"m{i}") for i in range(MAP_WORDS)])
+            # bits of all texts of a doc_id: those that each holds bound from below what it has, those that any holds from above
+            maps = signed.groupBy("doc_id").agg(*[f(F.col("map")[i]).alias(f"{k}{i}") for i in range(MAP_WORDS) for f, k in ((F.bit_and, "m"), (F.bit_or, "h"))])
             mapped = left.drop("hub").join(maps, "doc_id")
-            other = mapped.select("band", F.struct("doc_id", "n", "class").alias("hub"), *[F.col(f"m{i}").alias(f"h{i}") for i in range(MAP_WORDS)])
+            other = mapped.select("band", F.struct("doc_id", "n", "n_most", "class").alias("hub"), *[f"h{i}" for i in range(MAP_WORDS)])
+            mapped = mapped.drop(*[f"h{i}" for i in range(MAP_WORDS)])
             met = mapped.join(other, "band").filter((F.col("hub.class") != F.col("class")) & (F.col("hub.doc_id") < F.col("doc_id")) & _possible(threshold) & _map_allows(threshold))
         pairs = met.filter((F.col("hub.class") != F.col("class")) & _possible(threshold)).select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
         found = verify(pairs, sets, threshold)

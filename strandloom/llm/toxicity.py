@@ -9,8 +9,9 @@ zero and the model is a short list of (index, weight): it is sent to the
 executors, and its size is bounded by ``1 << BITS`` whatever the corpus.
 
 Fitting reads at most ``max_train_docs`` labelled documents (a hash sample beyond
-that) with their whole texts; the features are made in parallel and one task
-runs the sequential learner over them, in the order of a hash of ``doc_id``.
+that) with their whole texts; the features are made in parallel and written, and one
+task runs the sequential learner over them, in the order of a hash of ``doc_id``. It
+gets at most about ``max_train_bytes`` of features: with more, a hash sample again.
 Scoring reads every whole text once, without a shuffle.
 
 Edge cases: a null or empty text has no features and gets the bias' score; with
@@ -32,10 +33,13 @@ from pyspark.sql import functions as F
 
 from strandloom.llm import kernels as K
 from strandloom.llm.common import hash_sample, project
+from strandloom.plans import scratch
 
 BITS = 20
 #: Labelled documents read for the fit at most.
 MAX_TRAIN_DOCS = 12_000
+#: Bytes of their features (four each) that the learning task gets at most, about.
+MAX_TRAIN_BYTES = 160 << 20
 ALPHA, BETA, L1, L2, EPOCHS = 0.3, 1.0, 10.0, 1.0, 4
 
 _NO_LETTER = np.ones(256, bool)
@@ -104,7 +108,7 @@ def ftrl(rows: list[np.ndarray], labels: list[int], epochs: int = EPOCHS) -> Tox
     return ToxicityModel(index, w[index], prior + float(w[-1]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str, usable: Column, max_train_docs: int = MAX_TRAIN_DOCS) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, label: str, usable: Column, max_train_docs: int = MAX_TRAIN_DOCS, max_train_bytes: int = MAX_TRAIN_BYTES) -> ToxicityModel:
     """Learn ``label`` (0/1, by doc_id) on the documents whose label row satisfies ``usable``."""
     marked = labels.filter(usable & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     sample = F.broadcast(hash_sample(marked, "doc_id", max_train_docs))  # at most max_train_docs rows
@@ -131,8 +135,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, usable: Column, max_trai
         yield pa.RecordBatch.from_arrays([pa.array([m.index.astype(np.int64).tobytes()]), pa.array([m.weight.tobytes()]), pa.array([m.bias])], names=["at", "w", "bias"])
 
     rows = project(docs, "doc_id", "text").join(sample, "doc_id").select("doc_id", "label", "text")
-    encoded = rows.mapInArrow(encode, "doc_id long, label int, features binary")
+    encoded, path = scratch.write(rows.mapInArrow(encode, "doc_id long, label int, features binary"), "toxic-train")
+    total = encoded.agg(F.sum(F.length("features"))).first()[0] or 0
+    if total > max_train_bytes:  # fewer documents, by another hash than the order of learning
+        encoded = encoded.filter(F.pmod(F.xxhash64("doc_id", F.lit("share")), F.lit(1 << 30)) < int(0.9 * max_train_bytes / total * (1 << 30)))
     found = encoded.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "features").mapInArrow(learn, "at binary, w binary, bias double").collect()
+    scratch.drop(docs.sparkSession, path)
     if not found:  # no labelled document, no task
         return ftrl([], [])
     r = found[0]

@@ -85,3 +85,37 @@ def test_short_items_and_other_scripts(spark):
     got = {(r["doc_id"], r["item_id"]): (r["n_words"], r["n_equal"], r["doc_from"]) for r in D.contaminated(*made, short=True).collect()}
     assert got == {(1, 1): (4, 4, 1), (3, 2): (13, 13, 2), (4, 3): (len(th), len(th), 1), (5, 4): (8, 8, 0), (7, 6): (1, 1, 0)}
     assert {r["doc_id"] for r in D.clean(*made, short=True).collect()} == {2, 6, 8}
+
+
+def test_texts_of_few_different_words_are_cheap_and_exact():
+    """Short periods on both sides: all alignments are found, by differences instead of pairs of places."""
+    import time
+
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    for period in (1, 2, 3, 7):
+        unit = [f"w{i}" for i in range(period)]
+        item = (unit * 300)[:300]
+        doc = (unit * 8000)[:8000]
+        for _ in range(5):
+            doc[rng.randrange(8000)] = "other"
+        block = D.Block([4], pa.array([" ".join(item)]))
+        spans = D.text_words(pa.array([" ".join(doc)]))
+        began = time.time()
+        (got,) = block.find(spans)
+        assert time.time() - began < 3
+        assert got[0]["n_equal"] >= 295 and got[0]["item_id"] == 4
+    few = ["a", "b"]
+    for _ in range(40):
+        item = [rng.choice(few) for _ in range(rng.randint(8, 60))]
+        doc = [rng.choice(few) for _ in range(rng.randint(1, 400))]
+        (got,) = D.Block([1], pa.array([" ".join(item)])).find(D.text_words(pa.array([" ".join(doc)])))
+        assert bool(got) == brute(" ".join(doc), " ".join(item))
+        width = min(D.WINDOW, len(item))
+        best = 0
+        for shift in range(-len(item), len(doc)):
+            same = [0 <= i + shift < len(doc) and doc[i + shift] == x for i, x in enumerate(item)]
+            good = [i for i in range(len(item) - width + 1) if 0 <= i + shift and i + width + shift <= len(doc) and sum(same[i : i + width]) >= width - D.allowed(width)]
+            best = max(best, sum(same[good[0] : good[-1] + width]) if good else 0)
+        assert best == (got[0]["n_equal"] if got else 0)
