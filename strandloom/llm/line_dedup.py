@@ -13,10 +13,15 @@ come
   probed against the filters where the text is read; only lines that may be
   frequent travel to the exact table, which decides.
 
-The filters are sent to the executors only while they are below
-``max_filter_bytes`` (their size is known from the key count before they are
-built). Beyond it every line travels to the exact table: same result, more
-shuffle. Keys are 128-bit hashes.
+While the filters are below ``max_filter_bytes`` (known from the key count) they
+are sent to the executors and lines are probed where the text is read. Beyond it the
+lines' references travel to their shard and are probed there, a shard's lines dealt
+to as many tasks as their number asks for. An index keeps its filters: inserting
+documents adds the keys that became frequent, deleting takes out those that no longer
+are, and only shards that overflow are built anew. Keys are 128-bit digests.
+
+Only documents that lose a line are joined with their lost keys; the others pass by
+as they are, while the touched ones' ids may be sent.
 
 Edge cases: a null or empty text is one empty line; lines shorter than
 ``min_chars`` code points always stay; a null ``doc_id`` is kept as a document
@@ -28,11 +33,11 @@ times keeps or loses all those lines together.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.llm import kernels as K
@@ -43,8 +48,14 @@ MIN_CHARS, MIN_DOCS = 40, 5
 #: Keys of a shard at most, on average; a shard's filter then has about 2.2 MB.
 SHARD_KEYS = 1 << 20
 MAX_FILTER_BYTES = 32 << 20
+#: Ids of the documents that lose a line are sent to the executors up to this many bytes.
+MAX_SENT_BYTES = 32 << 20
+#: References that one task probes against a shard, on average.
+GROUP_ROWS = 1 << 18
 _SLOTS, _LOAD, _KICKS = 4, 0.9, 500
 _REFS = "hi long, lo long, doc_id long"
+_FILTERS = "shard int, filter binary"
+_SETTINGS = "min_chars int, min_docs int, shards int"
 _CLEANED = "struct<text:string,n_lines:long,n_dropped:long>"
 
 
@@ -78,9 +89,9 @@ class CuckooFilter:
             n = max(2 * n, 8)
 
     @classmethod
-    def load(cls, raw: bytes) -> CuckooFilter:
+    def load(cls, raw: bytes, writable: bool = False) -> CuckooFilter:
         made = cls(0)
-        made.table = np.frombuffer(raw, np.uint16).reshape(-1, _SLOTS)
+        made.table = np.frombuffer(bytearray(raw) if writable else raw, np.uint16).reshape(-1, _SLOTS)
         return made
 
     def dump(self) -> bytes:
@@ -188,29 +199,82 @@ def references(docs: DataFrame, min_chars: int = MIN_CHARS, filters=None) -> Dat
     return known.mapInArrow(scan, _REFS)
 
 
+def _shard(shards: int) -> Column:
+    return F.pmod(F.shiftrightunsigned("hi", 20), F.lit(shards).cast("long")).cast("int")
+
+
 @dataclass
 class LineIndex:
-    """Exact references of a collection's long lines; immutable, each change gives a new index."""
+    """Exact references of a collection's long lines, and the filters of its frequent keys; immutable, each change gives a new index.
+
+    ``filters``: (shard, filter), or None until ``with_filters``.
+    """
 
     refs: DataFrame
     min_chars: int = MIN_CHARS
     min_docs: int = MIN_DOCS
+    filters: DataFrame | None = None
+    shards: int = 0
 
     @classmethod
     def of(cls, docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> LineIndex:
         return cls(references(docs, min_chars), min_chars, min_docs)
 
+    def with_filters(self, shard_keys: int = SHARD_KEYS) -> LineIndex:
+        """With a filter for each shard of the keys that are frequent now."""
+        frequent = scratch.cut(self.frequent(), "line-keys")
+        shards = max(1, -(-frequent.count() // shard_keys))
+        return replace(self, filters=scratch.cut(build_filters(frequent, shards), "filters"), shards=shards)
+
     def insert(self, docs: DataFrame) -> LineIndex:
         """With the documents' references too; documents already in the index change nothing."""
-        return LineIndex(self.refs.unionByName(references(docs, self.min_chars)), self.min_chars, self.min_docs)
+        new = scratch.cut(references(docs, self.min_chars), "line-refs")
+        return self._changed(self.refs.unionByName(new), new)
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
         """Without the references of the documents in column ``doc_id``."""
         gone = doc_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-        return LineIndex(self.refs.join(gone, "doc_id", "left_anti").select("hi", "lo", "doc_id"), self.min_chars, self.min_docs)
+        lost = scratch.cut(self.refs.join(gone, "doc_id", "left_semi").select("hi", "lo", "doc_id"), "line-refs")
+        return self._changed(self.refs.join(gone, "doc_id", "left_anti").select("hi", "lo", "doc_id"), lost)
+
+    def _changed(self, refs: DataFrame, touched: DataFrame) -> LineIndex:
+        """The index on other references; only keys of ``touched`` can have become frequent or rare."""
+        after = replace(self, refs=refs)
+        if self.filters is None:
+            return after
+        keys = touched.select("hi", "lo").distinct()
+        was, now = (replace(x, refs=x.refs.join(keys, ["hi", "lo"], "left_semi")).frequent().select("hi", "lo") for x in (self, after))
+        both = was.withColumn("old", F.lit(1)).join(now.withColumn("new", F.lit(1)), ["hi", "lo"], "full")
+        change = both.filter("old IS NULL OR new IS NULL").select(_shard(self.shards).alias("shard"), "lo", F.col("new").isNotNull().alias("add"))
+
+        def turn(held: pa.Table, change: pa.Table) -> pa.Table:
+            raw = held.column("filter")[0].as_py() if held.num_rows else None
+            shard = (held if held.num_rows else change).column("shard")[0].as_py()
+            made = CuckooFilter.load(raw, writable=True) if raw is not None else CuckooFilter(change.num_rows)
+            keys, add = change.column("lo").to_numpy().view(np.uint64), change.column("add").to_numpy()
+            whole = all([made.delete(int(k)) for k in keys[~add]]) and all(made.insert(int(k)) for k in keys[add])
+            return pa.table({"shard": pa.array([shard], pa.int32()), "filter": pa.array([made.dump() if whole else None], pa.binary())})
+
+        turned = scratch.cut(self.filters.groupBy("shard").cogroup(change.groupBy("shard")).applyInArrow(turn, _FILTERS), "filters")
+        full = turned.filter("filter IS NULL").select("shard")
+        if not full.isEmpty():  # too small now: built anew from the exact table
+            again = build_filters(after.frequent().withColumn("shard", _shard(self.shards)).join(full, "shard", "left_semi").drop("shard"), self.shards)
+            turned = scratch.cut(turned.filter("filter IS NOT NULL").unionByName(again), "filters")
+        return replace(after, filters=turned)
 
     def save(self, path: str) -> None:
-        self.refs.write.parquet(path)
+        """References, filters and settings as tables below ``path``."""
+        spark = self.refs.sparkSession
+        self.refs.write.parquet(f"{path}/refs")
+        (self.filters if self.filters is not None else spark.createDataFrame([], _FILTERS)).write.parquet(f"{path}/filters")
+        spark.createDataFrame([(self.min_chars, self.min_docs, self.shards)], _SETTINGS).write.parquet(f"{path}/settings")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> LineIndex:
+        """What ``save`` wrote."""
+        chars, docs, shards = spark.read.schema(_SETTINGS).parquet(f"{path}/settings").first()
+        filters = spark.read.schema(_FILTERS).parquet(f"{path}/filters") if shards else None
+        return cls(spark.read.schema(_REFS).parquet(f"{path}/refs"), chars, docs, filters, shards)
 
     def frequent(self, distinct: bool = True) -> DataFrame:
         """Keys held by ``min_docs`` documents or more: hi, lo, n_docs, last_doc.
@@ -223,20 +287,29 @@ class LineIndex:
         return self.refs.groupBy("hi", "lo").agg(n.alias("n_docs"), F.max("doc_id").alias("last_doc")).filter(F.col("n_docs") >= self.min_docs)
 
 
-def build_filters(frequent: DataFrame, n_keys: int) -> list[bytes]:
-    """One cuckoo filter for each shard of the keys, built on the executors."""
-    shards = max(1, -(-n_keys // SHARD_KEYS))
+def build_filters(frequent: DataFrame, shards: int) -> DataFrame:
+    """(shard, filter): one cuckoo filter for each shard of the keys, built on the executors."""
 
     def build(table: pa.Table) -> pa.Table:
         keys = table.column("lo").to_numpy().view(np.uint64)
-        return pa.table({"shard": [table.column("shard")[0].as_py()], "filter": pa.array([CuckooFilter.build(keys).dump()], pa.binary())})
+        return pa.table({"shard": table.column("shard").slice(0, 1), "filter": pa.array([CuckooFilter.build(keys).dump()], pa.binary())})
+
+    return frequent.select(_shard(shards).alias("shard"), "lo").groupBy("shard").applyInArrow(build, _FILTERS)
+
+
+def probe_by_shard(refs: DataFrame, filters: DataFrame, shards: int, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """The references (hi, lo, doc_id) that their shard's filter lets through; a shard with many is probed in several tasks."""
+    refs = scratch.cut(refs.withColumn("shard", _shard(shards)), "line-refs")
+    parts = refs.groupBy("shard").agg(F.ceil(F.count("*") / group_rows).alias("parts"))
+    dealt = refs.join(F.broadcast(parts), "shard").select("shard", F.pmod(F.xxhash64("doc_id", "lo"), F.col("parts")).alias("part"), "hi", "lo", "doc_id")  # a row a shard
+    copies = filters.join(F.broadcast(parts), "shard").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "filter")
 
-    by_shard = F.pmod(F.shiftrightunsigned("hi", 20), F.lit(shards).cast("long"))
-    rows = frequent.select(by_shard.alias("shard"), "lo").groupBy("shard").applyInArrow(build, "shard long, filter binary").collect()
-    made: list[bytes] = [b""] * shards
-    for r in rows:
-        made[r["shard"]] = bytes(r["filter"])
-    return made
+    def probe(rows: pa.Table, held: pa.Table) -> pa.Table:
+        keys = rows.column("lo").to_numpy().view(np.uint64)
+        hit = CuckooFilter.load(held.column("filter")[0].as_py()).probe(keys) if held.num_rows else np.zeros(len(keys), bool)
+        return rows.select(["hi", "lo", "doc_id"]).filter(pa.array(hit))
+
+    return dealt.groupBy("shard", "part").cogroup(copies.groupBy("shard", "part")).applyInArrow(probe, _REFS)
 
 
 def _clean(text: str | None, lost: list[dict], min_chars: int) -> dict:
@@ -249,7 +322,7 @@ def _clean(text: str | None, lost: list[dict], min_chars: int) -> dict:
     return {"text": kept.decode(), "n_lines": len(start), "n_dropped": int(gone.sum())}
 
 
-def apply_index(docs: DataFrame, index: LineIndex, max_filter_bytes: int = MAX_FILTER_BYTES, same_docs: bool = False) -> DataFrame:
+def apply_index(docs: DataFrame, index: LineIndex, max_filter_bytes: int = MAX_FILTER_BYTES, same_docs: bool = False, max_sent_bytes: int = MAX_SENT_BYTES) -> DataFrame:
     """``docs`` without the frequent lines that another, larger document keeps.
 
     All columns stay; ``text`` is the cleaned text and n_lines, n_dropped are
@@ -258,24 +331,36 @@ def apply_index(docs: DataFrame, index: LineIndex, max_filter_bytes: int = MAX_F
     again where the filters are too large to send.
     """
     spark = docs.sparkSession
-    frequent, path = scratch.write(index.frequent(), "line-keys")
+    frequent, _ = scratch.write(index.frequent(), "line-keys")
     n_keys = frequent.count()
     if not n_keys:
         return docs.withColumns(_as_is())
-    shards = max(1, -(-n_keys // SHARD_KEYS))
+    shards = index.shards or max(1, -(-n_keys // SHARD_KEYS))
+    filters = index.filters if index.filters is not None else build_filters(frequent, shards)
     if shards * CuckooFilter.size_bytes(-(-n_keys // shards)) <= max_filter_bytes:
-        sent = spark.sparkContext.broadcast(build_filters(frequent, n_keys))
-        refs = references(docs, index.min_chars, sent)
+        made: list[bytes] = [b""] * shards
+        for r in filters.collect():
+            made[r["shard"]] = bytes(r["filter"])
+        refs = references(docs, index.min_chars, spark.sparkContext.broadcast(made))
     else:
-        refs = index.refs if same_docs else references(docs, index.min_chars)
+        refs = probe_by_shard(index.refs if same_docs else references(docs, index.min_chars), filters, shards)
     lost = (
         refs.join(frequent, ["hi", "lo"])
         .filter("doc_id < last_doc")
         .groupBy(F.col("doc_id").alias("__doc"))
         .agg(F.collect_set(F.struct("hi", "lo")).alias("__lost"))
     )
-    both = docs.join(lost, docs["doc_id"].cast("long") == F.col("__doc"), "left")
-    min_chars = index.min_chars
+    lost = scratch.cut(lost, "lost-lines")
+    on = docs["doc_id"].cast("long") == F.col("__doc")
+    ids = lost.select("__doc")
+    if 8 * ids.count() <= max_sent_bytes:  # only touched texts are shuffled
+        ids = F.broadcast(ids)
+        return _without(docs.join(ids, on, "left_semi").join(lost, on), index.min_chars).unionByName(docs.join(ids, on, "left_anti").withColumns(_as_is()))
+    return _without(docs.join(lost, on, "left"), index.min_chars)
+
+
+def _without(both: DataFrame, min_chars: int) -> DataFrame:
+    """Rows with the keys they lose (``__lost``, or null) as rows without those lines."""
 
     @F.arrow_udf(_CLEANED)
     def cleaned(texts: pa.Array, keys: pa.Array) -> pa.Array:

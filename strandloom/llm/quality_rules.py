@@ -2,24 +2,28 @@
 
 Pass 1 reads each whole text once and yields the document's measures and, for
 each distinct normalised line, a 64-bit hash and the words on such lines. Lines
-are then counted by the *distinct documents of a host* that hold them: exact
-copies of one text on a host count once, so a group of copies does not make its
-own lines look like boilerplate. A line over the host's limit
-(``max(min_docs, share of the host's distinct documents)``) is removed from all
-its documents, and a document of which less than ``min_left`` percent of the
-words remain is depleted and rejected.
+are then counted by the distinct documents of a host that hold them. A line over
+the host's limit (more than ``min_docs`` documents, and more than ``per_mille`` in
+a thousand of the host's) is removed from all its documents, and a document of
+which less than ``min_left`` percent of the words remain is depleted and rejected.
+``judge`` gives the verdicts, ``remove_lines`` the texts without such lines.
 
 Normalised line: white space stripped at both ends, runs of digits as one ``0``,
 A-Z in lower case. Lines without a word are never counted.
 
-Counting is by (host, line hash) with partial sums before the shuffle, so a hot
-host or a line in every document arrives as one row from each task. Removed
+Copies of a text on a host have the same lines, so their documents are counted
+first and each text's lines go on once, with that number. Counting is by (host, line
+hash) with partial sums before the shuffle, so a hot host or a line in every document
+arrives as one row from each task. Removed
 words are found by joining each document's lines with the frequent ones; only
 Spark's own exchanges deal out that join, so skewed keys are split at run time.
 
 Edge cases: a null text has no words and fails the base rules; a null host is a
-host of its own; repeated rows of one ``doc_id`` are judged separately by text
-and counted once; an empty table gives an empty result.
+host of its own; rows that repeat a ``doc_id`` are judged by their own text and, if
+the texts are equal, counted once (with another text, as another document); a null
+``doc_id`` is judged but not counted, and keeps its lines; a line exactly at a limit
+stays; very long texts are read whole; an empty table gives an empty result; extra
+columns are ignored, by ``remove_lines`` kept.
 """
 
 from __future__ import annotations
@@ -38,8 +42,8 @@ from strandloom.plans import scratch
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 #: A line is frequent on a host over this many distinct documents ...
 MIN_DOCS = 20
-#: ... and over this many in a thousand of the host's distinct documents.
-PER_MILLE = 2
+#: ... and over this many in a thousand of the host's documents.
+PER_MILLE = 10
 MIN_LEFT_PERCENT = 30
 SYMBOLS = b"#*$%&|<>"
 
@@ -123,35 +127,63 @@ def profiles(docs: DataFrame, host: str = "source") -> DataFrame:
     return rows.mapInArrow(scan, _PROFILE)
 
 
+TEXT_KEY = ["host", "print_hi", "print_lo"]
+
+
+def frequent_lines(table: DataFrame, min_docs: int = MIN_DOCS, per_mille: int = PER_MILLE) -> tuple[DataFrame, DataFrame]:
+    """Each text's lines (host, print_hi, print_lo, line_hash, line_words), and the frequent ones (host, line_hash), of written ``profiles``."""
+    texts = table.groupBy(*TEXT_KEY).agg(F.first("line_hash").alias("line_hash"), F.first("line_words").alias("line_words"))
+    held = table.select(*TEXT_KEY, "doc_id").distinct().groupBy(*TEXT_KEY).agg(F.count("doc_id").alias("n_docs"))
+    sizes = held.groupBy("host").agg(F.sum("n_docs").alias("host_docs"))
+    lines = texts.join(held, TEXT_KEY).select(*TEXT_KEY, "n_docs", F.explode(F.arrays_zip("line_hash", "line_words")).alias("line")).select(*TEXT_KEY, "n_docs", "line.line_hash", "line.line_words")
+    counted = lines.groupBy("host", "line_hash").agg(F.sum("n_docs").alias("n")).filter(F.col("n") > min_docs)
+    frequent = counted.join(sizes, "host").filter(F.col("n") * 1000 > F.col("host_docs") * per_mille).select("host", "line_hash")
+    return lines.drop("n_docs"), frequent
+
+
 def judge(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, per_mille: int = PER_MILLE, min_left: int = MIN_LEFT_PERCENT) -> DataFrame:
     """doc_id, the measures, base_failed, n_frequent_words, depleted and kept for each row of ``docs``.
 
     A document's rows are told apart by their text's fingerprint, so rows that
-    repeat a ``doc_id`` get the verdict of their own text. A null ``doc_id`` is
-    judged like any other.
+    repeat a ``doc_id`` get the verdict of their own text.
     """
     table = scratch.cut(profiles(docs, host), "line-profiles")
-    text_key = ["host", "print_hi", "print_lo"]
-    # copies of a text on a host have the same lines, so one of them is counted
-    texts = table.groupBy(*text_key).agg(F.first("line_hash").alias("line_hash"), F.first("line_words").alias("line_words"))
-    sizes = texts.groupBy("host").agg(F.count("*").alias("host_docs"))
-    lines = texts.select(*text_key, F.explode(F.arrays_zip("line_hash", "line_words")).alias("line")).select(*text_key, "line.line_hash", "line.line_words")
-    frequent = (
-        lines.groupBy("host", "line_hash")
-        .agg(F.count("*").alias("n"))
-        .filter(F.col("n") > min_docs)
-        .join(sizes, "host")
-        .filter(F.col("n") * 1000 > F.col("host_docs") * per_mille)
-        .select("host", "line_hash")
-    )
-    removed = lines.join(frequent, ["host", "line_hash"]).groupBy(*text_key).agg(F.sum("line_words").alias("n_frequent_words"))
+    lines, frequent = frequent_lines(table, min_docs, per_mille)
+    removed = lines.join(frequent, ["host", "line_hash"]).groupBy(*TEXT_KEY).agg(F.sum("line_words").alias("n_frequent_words"))
     n, gone = F.col("n_words"), F.col("n_frequent_words")
     return (
         table.drop("line_hash", "line_words")
-        .join(removed, text_key, "left")
+        .join(removed, TEXT_KEY, "left")
         .withColumn("n_frequent_words", F.coalesce(gone, F.lit(0)).cast("long"))
         .withColumn("base_failed", (n < MIN_WORDS) | (F.col("n_repeat_words") * 100 > n * MAX_REPEAT_PERCENT))
         .withColumn("depleted", (n - gone) * 100 < n * min_left)
         .withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
-        .drop(*text_key)
+        .drop(*TEXT_KEY)
     )
+
+
+def remove_lines(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, per_mille: int = PER_MILLE) -> DataFrame:
+    """``docs`` with the frequent lines of their host taken out of ``text``; all columns stay, and no document goes."""
+    table = scratch.cut(profiles(docs, host), "line-profiles")
+    lines, frequent = frequent_lines(table, min_docs, per_mille)
+    by_text = lines.join(frequent, ["host", "line_hash"]).select(*TEXT_KEY, "line_hash").distinct()
+    ids = table.filter("doc_id IS NOT NULL").select("doc_id", *TEXT_KEY).distinct()
+    lost = ids.join(by_text, TEXT_KEY).groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("line_hash").alias("__lost"))
+
+    @F.arrow_udf("string")
+    def without(texts: pa.Array, lost: pa.Array) -> pa.Array:
+        out = []
+        for text, gone in zip(texts.to_pylist(), lost.to_pylist(), strict=True):
+            raw = (text or "").encode()
+            data, off = np.frombuffer(raw, np.uint8), np.array([0, len(raw)])
+            low, low_off = _squeeze(_normal(data), off)
+            ls, le, _ = K.lines(low, low_off)
+            hashes = K.signed(K.span_hash(low, *K.strip(low, ls, le)))
+            start, end, _ = K.lines(data, off)
+            stay = ~np.isin(hashes, np.array(gone or [], np.int64))
+            out.append(b"\n".join(raw[a:b] for a, b in zip(start[stay].tolist(), end[stay].tolist(), strict=True)).decode())
+        return pa.array(out, pa.string())
+
+    touched = F.col("__lost").isNotNull()
+    both = docs.join(lost, docs["doc_id"].cast("long") == F.col("__doc"), "left")
+    return both.withColumn("text", F.when(touched, without(F.when(touched, F.col("text")), F.col("__lost"))).otherwise(F.col("text"))).drop("__doc", "__lost")

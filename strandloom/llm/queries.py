@@ -101,9 +101,8 @@ dup AS (SELECT doc_id, sum(c - 1) AS n_dup_lines FROM (SELECT doc_id, line, coun
 win AS (SELECT doc_id, p, array_to_string(ws[p:p + 7], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS p FROM w WHERE len(ws) >= 8)),
 again AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1),
 rep AS (SELECT doc_id, count(DISTINCT q) AS n_repeat_words FROM (SELECT doc_id, unnest(range(p, p + 8)) AS q FROM again) GROUP BY doc_id),
-texts AS (SELECT source, text, min(doc_id) AS doc_id FROM d GROUP BY source, text),
-sizes AS (SELECT source, count(*) AS host_docs FROM texts GROUP BY source),
-freq AS (SELECT k.source, k.key FROM (SELECT s.source, s.key, count(DISTINCT s.doc_id) AS n FROM solid s JOIN texts t ON s.doc_id = t.doc_id GROUP BY s.source, s.key) k
+sizes AS (SELECT source, count(DISTINCT doc_id) AS host_docs FROM d GROUP BY source),
+freq AS (SELECT k.source, k.key FROM (SELECT source, key, count(DISTINCT doc_id) AS n FROM solid GROUP BY source, key) k
          JOIN sizes z ON k.source IS NOT DISTINCT FROM z.source WHERE k.n > {quality_rules.MIN_DOCS} AND k.n * 1000 > z.host_docs * {quality_rules.PER_MILLE}),
 gone AS (SELECT s.doc_id, sum(s.n)::BIGINT AS n_frequent_words FROM solid s JOIN freq f ON s.key = f.key AND s.source IS NOT DISTINCT FROM f.source GROUP BY s.doc_id),
 m AS (SELECT w.doc_id, len(w.ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(w.ws, lambda x: length(x))), 0)::BIGINT AS word_chars,

@@ -39,6 +39,42 @@ def test_matches_brute_force_with_and_without_filters(documents):
     assert any(n for _, _, n, _ in want)
     assert got(L.dedup_lines(documents, 20, 3)) == want
     assert got(L.dedup_lines(documents, 20, 3, max_filter_bytes=0)) == want
+    index = L.LineIndex.of(documents, 20, 3)
+    assert got(L.apply_index(documents, index, max_sent_bytes=0)) == want
+
+
+def held_keys(index):
+    """What the filters answer for the frequent keys, and how many fingerprints they hold."""
+    blobs = {r["shard"]: L.CuckooFilter.load(bytes(r["filter"])) for r in index.filters.collect()}
+    keys = index.frequent().select(L._shard(index.shards).alias("shard"), "lo").collect()
+    found = [bool(blobs[r["shard"]].probe(np.array([r["lo"]], np.int64).view(np.uint64))[0]) for r in keys]
+    return all(found), len(found), sum(int((f.table != 0).sum()) for f in blobs.values())
+
+
+def test_filters_follow_insertions_and_deletions(documents, spark, tmp_path):
+    a, b = documents.filter("doc_id < 130"), documents.filter("doc_id >= 130")
+    start = L.LineIndex.of(a, 20, 3).with_filters(shard_keys=8)
+    assert start.shards > 1
+    ok, n, stored = held_keys(start)
+    assert ok and n == stored > 0
+    after = start.insert(b)
+    ok, more, stored = held_keys(after)
+    assert ok and more == stored > n
+    back = after.delete(b.select("doc_id"))
+    assert held_keys(back) == (True, n, n)
+    after.save(str(tmp_path / "index"))
+    again = L.LineIndex.load(spark, str(tmp_path / "index"))
+    rows = [(r["doc_id"], r["text"]) for r in documents.collect()]
+    assert got(L.apply_index(documents, again)) == got(L.apply_index(documents, again, max_filter_bytes=0)) == brute(rows, 20, 3)
+    assert held_keys(again.delete(documents.select("doc_id")))[1:] == (0, 0)
+
+
+def test_a_hot_shard_is_probed_in_parts(documents):
+    index = L.LineIndex.of(documents, 20, 3).with_filters()
+    refs = L.probe_by_shard(index.refs, index.filters, index.shards, group_rows=7)
+    keys = {(r["hi"], r["lo"]) for r in index.frequent().collect()}
+    held = [(r["hi"], r["lo"], r["doc_id"]) for r in index.refs.collect() if (r["hi"], r["lo"]) in keys]
+    assert not set(held) - {tuple(r) for r in refs.collect()}
 
 
 def test_insert_and_delete_are_reversible(documents):

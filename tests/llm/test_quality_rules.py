@@ -2,6 +2,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandloom.llm import quality_rules as Q
 
@@ -28,18 +29,23 @@ def norm(line):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line)
 
 
-def brute(rows, min_docs, per_mille, min_left):
+def frequent(rows, min_docs, per_mille):
     hosts = defaultdict(set)
-    for _, text, host in rows:
-        hosts[host].add(text or "")
+    for doc, text, host in rows:
+        if doc is not None:
+            hosts[host].add((doc, text or ""))
     freq = set()
     for host, texts in hosts.items():
         n = defaultdict(int)
-        for t in texts:
+        for _, t in texts:
             for k in {norm(x) for x in t.split("\n") if WORD.search(x)}:
                 n[k] += 1
         freq |= {(host, k) for k, v in n.items() if v > min_docs and v * 1000 > per_mille * len(texts)}
-    out = []
+    return freq
+
+
+def brute(rows, min_docs, per_mille, min_left):
+    freq, out = frequent(rows, min_docs, per_mille), []
     for doc, text, host in rows:
         m = base(text)
         gone = sum(len(WORD.findall(x)) for x in (text or "").split("\n") if WORD.search(x) and (host, norm(x)) in freq)
@@ -68,5 +74,15 @@ def test_repeats_digits_and_symbols(spark):
     assert got[3]["word_chars"] == 7
 
 
+def test_remove_lines(documents):
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in documents.collect()]
+    freq = frequent(rows, 2, 0)
+    odd = documents.withColumn("host", F.lit("x")).withColumn("line_hash", F.lit(1))
+    df = Q.remove_lines(odd, min_docs=2, per_mille=0)
+    assert df.columns == odd.columns
+    want = [(d, t if d is None or t is None else "\n".join(x for x in t.split("\n") if not (WORD.search(x) and (h, norm(x)) in freq))) for d, t, h in rows]
+    assert sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str) == sorted(want, key=str) and sorted(want, key=str) != sorted(((d, t) for d, t, _ in rows), key=str)
+
+
 def test_empty(empty):
-    assert Q.judge(empty).collect() == []
+    assert Q.judge(empty).collect() == [] and Q.remove_lines(empty).collect() == []
