@@ -12,12 +12,17 @@ URL's path starts with the rule's path; the longest rule (host and path) wins.
 
 Suffix statistics: how many URLs end in the host's last two labels (log), how many
 of the labelled ones there are blocked, smoothed, and the same for the first path
-segment. Suffixes are hashed into ``BUCKETS`` buckets, so the table that is
-joined has at most that many rows and may be broadcast.
+segment. Every suffix and segment has its own row; the table is sent to the executors
+if its counted rows allow it, else joined. A labelled URL's own label must not tell its
+verdict, so its block rates come from the ``FOLDS - 1`` folds of URLs (by hash) that it
+is not in; the trees learn from such rates, and URLs without a label get those of all.
 
 Edge cases: a null URL, or one without ``://``, has an empty host and path, fits
 no rule and is judged by the trees; without labelled URLs of both kinds the
-method's verdict is allow; repeated rows are judged alike; extra columns stay.
+method's verdict is allow; repeated rows are judged alike; a very long URL is read
+whole; cuts that gain alike go to the first feature and the smallest bin; an empty
+table gives an empty result; extra columns stay, and those of the added names are
+replaced.
 """
 
 from __future__ import annotations
@@ -33,7 +38,9 @@ from strandloom.plans import scratch
 
 #: (host, path, verdict)
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-BUCKETS, BINS, TREES, DEPTH, RATE, RIDGE = 1024, 16, 8, 3, 0.5, 1.0
+BINS, TREES, DEPTH, RATE, RIDGE, FOLDS = 16, 8, 3, 0.5, 1.0, 5
+#: The suffix table is sent to the executors up to this many rows of about 150 bytes, else joined.
+MAX_SENT_ROWS = 200_000
 #: Labelled URLs used to grow trees at most; statistics and features cover all URLs.
 MAX_TRAIN_URLS = 20_000
 FEATURES = ("url_length", "host_length", "depth", "digit_share", "entropy", "n_params", "n_labels", "hyphens", "suffix_log_count", "suffix_block_rate", "segment_log_count", "segment_block_rate")
@@ -62,8 +69,8 @@ def apply_rules(df: DataFrame, rules=RULES) -> DataFrame:
     return df.withColumns({"rule": rule, "ruled": verdict})
 
 
-def _bucket(c: Column) -> Column:
-    return F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int")
+def _fold(url: str) -> Column:
+    return F.pmod(F.xxhash64(F.coalesce(F.col(url), F.lit(""))), F.lit(FOLDS)).cast("int")
 
 
 def _suffix(n: int) -> Column:
@@ -82,28 +89,35 @@ def _entropy(c: Column) -> Column:
     return F.aggregate(F.filter(share, lambda p: p > 0), F.lit(0.0), lambda a, p: a - p * F.log2(p))
 
 
-def lexical(df: DataFrame, url: str, stats: DataFrame) -> DataFrame:
-    """With the array column ``__x`` of FEATURES."""
+def lexical(df: DataFrame, url: str, stats: DataFrame, sent: bool = True) -> DataFrame:
+    """With the array column ``__x`` of FEATURES; ``__label``, if it has one, says which rates are a URL's own."""
     u = F.coalesce(F.col(url), F.lit(""))
     n = F.greatest(F.length(u), F.lit(1)).cast("double")
     query = F.when(F.instr(u, "?") > 0, F.regexp_extract(u, r"\?([^#]*)", 1)).otherwise("")
-    joined = df.withColumns({"__a": _bucket(_suffix(2)), "__b": _bucket(_segment()) + BUCKETS})
-    for k in ("a", "b"):
-        side = stats.select(F.col("bucket").alias(f"__{k}"), F.col("log_count").alias(f"__{k}_count"), F.col("block_rate").alias(f"__{k}_rate"))
-        joined = joined.join(F.broadcast(side), f"__{k}", "left")  # at most 2 x BUCKETS rows
+    joined = df.withColumns({"__a": _suffix(2), "__b": _segment(), "__fold": _fold(url)})
+    for k, kind in (("a", "suffix"), ("b", "segment")):
+        side = stats.filter(F.col("kind") == kind).select(F.col("key").alias(f"__{k}"), F.col("log_count").alias(f"__{k}_count"), F.col("rate").alias(f"__{k}_all"), F.col("fold_rate").alias(f"__{k}_fold"))
+        joined = joined.join(F.broadcast(side) if sent else side, f"__{k}", "left")
+    labelled = F.col("__label").isNotNull() if "__label" in df.columns else F.lit(False)
+    rate = {k: F.when(labelled, F.get(f"__{k}_fold", F.col("__fold"))).otherwise(F.col(f"__{k}_all")) for k in "ab"}
     x = [
         F.length(u), F.length("host"), F.length("path") - F.length(F.replace("path", F.lit("/"), F.lit(""))), F.length(F.regexp_replace(u, r"[^0-9]", "")) / n, _entropy(u),
         F.when(query == "", 0).otherwise(F.size(F.split(query, "&"))), F.size(F.split("host", r"\.")), F.length("host") - F.length(F.replace("host", F.lit("-"), F.lit(""))),
-        *(F.coalesce(f"__{k}_{v}", F.lit(d)) for k in "ab" for v, d in (("count", 0.0), ("rate", 0.5))),
+        *(c for k in "ab" for c in (F.coalesce(f"__{k}_count", F.lit(0.0)), F.coalesce(rate[k], F.lit(0.5)))),
     ]
-    return joined.withColumn("__x", F.array(*[c.cast("double") for c in x])).drop("__a", "__b", "__a_count", "__a_rate", "__b_count", "__b_rate")
+    return joined.withColumn("__x", F.array(*[c.cast("double") for c in x])).drop("__fold", *[f"__{k}{v}" for k in "ab" for v in ("", "_count", "_all", "_fold")])
 
 
-def suffix_stats(df: DataFrame) -> DataFrame:
-    """bucket, log_count and smoothed block rate of host suffixes and path segments; over all rows of ``df``."""
-    both = df.select(F.explode(F.array(_bucket(_suffix(2)), _bucket(_segment()) + BUCKETS)).alias("bucket"), "__label")
-    blocked = F.coalesce(F.sum("__label"), F.lit(0))
-    return both.groupBy("bucket").agg(F.log1p(F.count("*")).alias("log_count"), ((blocked + 1) / (F.count("__label") + 2)).alias("block_rate"))
+def suffix_stats(df: DataFrame, url: str = "url") -> DataFrame:
+    """kind, key, log_count, smoothed block rate, and that rate without each fold, of host suffixes and path segments; over all rows of ``df``."""
+    keys = F.array(F.struct(F.lit("suffix").alias("kind"), _suffix(2).alias("key")), F.struct(F.lit("segment").alias("kind"), _segment().alias("key")))
+    both = df.select(F.explode(keys).alias("k"), "__label", _fold(url).alias("fold")).select("k.kind", "k.key", "__label", "fold")
+
+    def rate(without: int | None = None) -> Column:
+        use = F.col("__label") if without is None else F.when(F.col("fold") != without, F.col("__label"))
+        return (F.coalesce(F.sum(use), F.lit(0)) + 1) / (F.count(use) + 2)
+
+    return both.groupBy("kind", "key").agg(F.log1p(F.count("*")).alias("log_count"), rate().alias("rate"), F.array(*[rate(f) for f in range(FOLDS)]).alias("fold_rate"))
 
 
 @dataclass
@@ -114,6 +128,7 @@ class UrlModel:
     trees: list
     bias: float
     stats: DataFrame
+    sent: bool
 
 
 def _margin(bins: Column, trees: list, bias: float) -> Column:
@@ -184,14 +199,15 @@ def _grow(rows: DataFrame, trees: list, bias: float):
 def fit(df: DataFrame, url: str = "url", max_train_urls: int = MAX_TRAIN_URLS) -> UrlModel:
     """Learn from the rows of ``df`` (with host, path) whose ``__label`` is 1 (block) or 0 (allow)."""
     spark = df.sparkSession
-    stats = scratch.cut(suffix_stats(df), "url-stats")
+    stats = scratch.cut(suffix_stats(df, url), "url-stats")
+    sent = stats.count() <= MAX_SENT_ROWS
     labelled = df.filter(F.col("__label").isNotNull())
-    rows = lexical(hash_sample(labelled, url, max_train_urls), url, stats).select(F.col("__label").alias("label"), F.col("__x").alias("x"))
+    rows = lexical(hash_sample(labelled, url, max_train_urls), url, stats, sent).select(F.col("__label").alias("label"), F.col("__x").alias("x"))
     rows, path = scratch.write(rows, "url-train")
     some = rows.agg(F.count("*").alias("n"), F.sum("label").alias("k"), *[F.percentile_approx(F.col("x")[f], [i / BINS for i in range(1, BINS)], 10_000).alias(f"q{f}") for f in range(len(FEATURES))]).first()
     n, k = some["n"], some["k"] or 0
     if not 0 < k < n:
-        return UrlModel([[] for _ in FEATURES], [], -20.0, stats)
+        return UrlModel([[] for _ in FEATURES], [], -20.0, stats, sent)
     cuts = [sorted(set(some[f"q{f}"])) for f in range(len(FEATURES))]
     packed, path2 = scratch.write(rows.select("label", _binned(F.col("x"), cuts).alias("bins")).groupBy("label", "bins").agg(F.count("*").alias("n")).coalesce(2), "url-bins")
     bias = math.log(k / (n - k))
@@ -199,7 +215,7 @@ def fit(df: DataFrame, url: str = "url", max_train_urls: int = MAX_TRAIN_URLS) -
     for _ in range(TREES):
         trees.append(_grow(packed, trees, bias))
     scratch.drop(spark, path, path2)
-    return UrlModel(cuts, trees, bias, stats)
+    return UrlModel(cuts, trees, bias, stats, sent)
 
 
 def judge(df: DataFrame, url: str = "url", rules=RULES, max_train_urls: int = MAX_TRAIN_URLS) -> DataFrame:
@@ -207,6 +223,6 @@ def judge(df: DataFrame, url: str = "url", rules=RULES, max_train_urls: int = MA
     ruled = apply_rules(split_url(df, url), rules)
     marked = ruled.withColumn("__label", F.when(F.col("ruled") == "block", 1).when(F.col("ruled") == "allow", 0))
     model = fit(marked.select(url, "host", "path", "__label"), url, max_train_urls)
-    scored = lexical(ruled, url, model.stats).withColumn("__bins", _binned(F.col("__x"), model.cuts))
+    scored = lexical(marked, url, model.stats, model.sent).withColumn("__bins", _binned(F.col("__x"), model.cuts))
     p = 1 / (1 + F.exp(-_margin(F.col("__bins"), model.trees, model.bias)))
-    return scored.withColumn("score", p).withColumn("verdict", F.coalesce("ruled", F.when(F.col("score") >= 0.5, "block").otherwise("allow"))).drop("ruled", "__x", "__bins")
+    return scored.withColumn("score", p).withColumn("verdict", F.coalesce("ruled", F.when(F.col("score") >= 0.5, "block").otherwise("allow"))).drop("ruled", "__label", "__x", "__bins")
