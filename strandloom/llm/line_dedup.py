@@ -355,7 +355,7 @@ def apply_index(docs: DataFrame, index: LineIndex, max_filter_bytes: int = MAX_F
     ids = lost.select("__doc")
     if 8 * ids.count() <= max_sent_bytes:  # only touched texts are shuffled
         ids = F.broadcast(ids)
-        return _without(docs.join(ids, on, "left_semi").join(lost, on), index.min_chars).unionByName(docs.join(ids, on, "left_anti").withColumns(_as_is()))
+        return _without(docs.join(ids, on, "left_semi").join(lost.hint("merge"), on), index.min_chars).unionByName(docs.join(ids, on, "left_anti").withColumns(_as_is()))
     return _without(docs.join(lost, on, "left"), index.min_chars)
 
 
