@@ -40,6 +40,16 @@ def code(kmer: Column) -> Column:
     return F.conv(F.translate(kmer, "ACGT", "0123"), 4, 10).cast("long")
 
 
+def push_right(code: Column, letter: Column, k: int) -> Column:
+    """The code of the window one letter on: the first letter goes, ``letter`` (0 to 3) comes."""
+    return F.shiftleft(code.bitwiseAND((1 << 2 * (k - 1)) - 1), 2).bitwiseOR(letter.cast("long"))
+
+
+def push_left(code: Column, letter: Column, k: int) -> Column:
+    """The code of the window one letter back: ``letter`` comes in front, the last one goes."""
+    return F.shiftright(code, 2).bitwiseOR(F.shiftleft(letter.cast("long"), 2 * (k - 1)))
+
+
 def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (from 0) of a string column; nulls are empty."""
     col = col.fill_null("") if col.null_count else col

@@ -68,7 +68,7 @@ def common_prefix(a: Column | str, b: Column | str) -> Column:
     a, b = _c(a), _c(b)
     n = F.least(F.length(a), F.length(b))
     at = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (F.substr(a, i, F.lit(1)) != F.substr(b, i, F.lit(1))) | (i > n))
-    return F.coalesce(F.element_at(at, 1) - 1, n).cast("long")
+    return F.coalesce(F.try_element_at(at, F.lit(1)) - 1, n).cast("long")
 
 
 def order_key(s: Column | str) -> Column:

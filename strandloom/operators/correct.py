@@ -134,4 +134,4 @@ def loop_copies(forward: DataFrame, back: DataFrame, medians: DataFrame) -> Data
     """Extra turns of two-vertex loops: forward edges (src, dst, cov) with back edges (dst to src), votes floor(cov / median + 1/2)."""
     two = forward.select("src", "dst", F.col("cov").alias("fwd")).join(back.select(F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("cov").alias("bck")), ["src", "dst"])
     vote = lambda c: F.floor(F.col(c) / F.col("median") + 0.5).cast("long")
-    return two.join(medians, F.lit(True)).select("src", "dst", vote("fwd").alias("fwd_copies"), vote("bck").alias("back_copies")).withColumn("turns", F.greatest(F.lit(0), F.least(F.col("fwd_copies") - 1, "back_copies")))
+    return two.crossJoin(F.broadcast(medians.agg(F.max("median").alias("median")))).select("src", "dst", vote("fwd").alias("fwd_copies"), vote("bck").alias("back_copies")).withColumn("turns", F.greatest(F.lit(0), F.least(F.col("fwd_copies") - 1, "back_copies")))

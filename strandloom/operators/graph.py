@@ -112,7 +112,7 @@ def unitigs(reads: DataFrame, k: int) -> DataFrame:
     nodes = scratch.cut(KM.nodes(reads, k), "nodes")
     letter = KM.only_letter(4)
     if k <= C.MAX_K:  # drop the first letter, add one
-        ahead = F.shiftleft(F.col("kmer").bitwiseAND((1 << 2 * (k - 1)) - 1), 2).bitwiseOR(letter.cast("long"))
+        ahead = C.push_right(F.col("kmer"), letter, k)
     else:
         ahead = F.concat(F.substr("kmer", F.lit(2)), F.substr(F.lit(S.LETTERS), letter + 1, F.lit(1)))
     one_out = nodes.select("kmer", "rc", ahead.alias("next")).filter("next IS NOT NULL")

@@ -190,6 +190,13 @@ def junctions(reads: DataFrame, k: int) -> DataFrame:
     return _junctions(reads, k).withColumn("kmer", _text(k))
 
 
+def tie_ends(reads: DataFrame, vertices: DataFrame, k: int) -> DataFrame:
+    """(code): the canonical codes of ``vertices`` with those of the reads' first and last k-mers, so that every read begins and ends at one."""
+    long = reads.filter(F.length("seq") >= k)
+    ends = long.select(F.explode(F.array(F.left("seq", F.lit(k)), F.right("seq", F.lit(k)))).alias("seq")).distinct()
+    return vertices.select("code").unionByName(codes(ends.withColumn("read_id", F.lit(0)), k).select(F.col("canon").alias("code"))).distinct()
+
+
 def _vertex_codes(vertices: DataFrame, k: int) -> DataFrame:
     known = vertices.select("code") if "code" in vertices.columns else vertices.select(C.code(F.col("kmer")).alias("code"))
     return scratch.cut(known.distinct(), "vertices")

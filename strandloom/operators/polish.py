@@ -69,15 +69,16 @@ def _align(graph_seq: str, s: str) -> list[tuple[int, int]]:
     return out
 
 
-def consensus(strings: list[str]) -> str:
+def consensus(strings: list[str], size: int | None = None) -> str:
     """Consensus of similar strings: votes on the columns of alignments to the one of median length, and on what stands between.
 
     Strings more than a tenth longer or shorter than the median are left out, at most
-    25 are used in order; ends that fewer than half support are trimmed.
+    25 are used in order; ends that fewer than half support are trimmed. ``size``: the
+    median length, if the strings were chosen by it already.
     """
     if not strings:
         return ""
-    size = sorted(map(len, strings))[len(strings) // 2]
+    size = sorted(map(len, strings))[len(strings) // 2] if size is None else size
     used = [s for s in strings if abs(len(s) - size) * 10 <= size][:MAX_STRINGS]
     if not used:
         return ""
@@ -116,11 +117,18 @@ def consensus(strings: list[str]) -> str:
 def region_consensus(pieces: DataFrame) -> DataFrame:
     """(contig_id, left, right, seq) from the reads' strings over each region: contig_id, left, right, read_id, part."""
 
+    region = ["contig_id", "left", "right"]
+
     def solve(table: pa.Table) -> pa.Table:
         t = table.sort_by([("read_id", "ascending"), ("part", "ascending")])
-        one = {k: t.column(k)[:1].combine_chunks() for k in ("contig_id", "left", "right")}
-        return pa.table({**one, "seq": pa.array([consensus(t.column("part").to_pylist())], pa.string())})
-
-    by = Window.partitionBy("contig_id", "left", "right").orderBy("read_id", "part")
-    few = pieces.withColumn("__k", F.row_number().over(by)).filter(F.col("__k") <= 4 * MAX_STRINGS).select("contig_id", F.col("left").cast("long").alias("left"), F.col("right").cast("long").alias("right"), F.col("read_id").cast("string").alias("read_id"), "part")
-    return few.groupBy("contig_id", "left", "right").applyInArrow(solve, f"contig_id {pieces.schema['contig_id'].dataType.simpleString()}, left long, right long, seq string")
+        one = {k: t.column(k)[:1].combine_chunks() for k in region}
+        return pa.table({**one, "seq": pa.array([consensus(t.column("part").to_pylist(), t.column("size")[0].as_py())], pa.string())})
+
+    size = F.length("part")
+    by_size, by_read = Window.partitionBy(*region).orderBy(size), Window.partitionBy(*region).orderBy("read_id", "part")
+    # the median length of all strings, then the first ones that fit it
+    placed = pieces.withColumns({"__k": F.row_number().over(by_size), "__n": F.count("*").over(Window.partitionBy(*region))})
+    median = placed.filter(F.col("__k") == F.floor(F.col("__n") / 2) + 1).select(*region, size.cast("long").alias("size"))
+    fit = pieces.join(median, region).filter(F.abs(size - F.col("size")) * 10 <= F.col("size"))
+    few = fit.withColumn("__k", F.row_number().over(by_read)).filter(F.col("__k") <= MAX_STRINGS).select("contig_id", F.col("left").cast("long").alias("left"), F.col("right").cast("long").alias("right"), F.col("read_id").cast("string").alias("read_id"), "part", "size")
+    return few.groupBy(*region).applyInArrow(solve, f"contig_id {pieces.schema['contig_id'].dataType.simpleString()}, left long, right long, seq string")
