@@ -129,13 +129,8 @@ def anchors(seqs: DataFrame, k: int, w: int) -> DataFrame:
     return anchor_codes(seqs, k, w).withColumn("canon", C.text(F.col("canon"), k))
 
 
-def nodes(reads: DataFrame, k: int) -> DataFrame:
-    """Every k-mer of both strands: (kmer, rc, mask, n).
-
-    ``mask`` has the letters seen before it (low four bits, A C G T) and after it,
-    ``n`` its occurrences. k-mers are codes up to k = 31 and text beyond. A slice's
-    repeats are one row.
-    """
+def strand_nodes(reads: DataFrame, k: int) -> DataFrame:
+    """As ``nodes``, up to k = 31 of the canonical strand alone, so that half as many rows are shuffled. A slice's repeats are one row."""
     small = k <= C.MAX_K
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +140,8 @@ def nodes(reads: DataFrame, k: int) -> DataFrame:
                 if small:
                     for w in C.windows(data, off, k):
                         here, there = C.masks(w.prev, w.next)
-                        cols = C.combine(np.concatenate([w.code, w.rc]), np.concatenate([w.rc, w.code]), np.concatenate([here, there]))
+                        mask = np.where(w.code < w.rc, here, np.where(w.code > w.rc, there, here | there))
+                        cols = C.combine(np.minimum(w.code, w.rc), np.maximum(w.code, w.rc), mask)
                         yield pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(cols, ("i8", "i8", "i4", "i8"), strict=True)], names=["kmer", "rc", "mask", "n"])
                 else:
                     for _, _, kmer, rc, prev, after in C.text_windows(data, off, k):
@@ -156,6 +152,28 @@ def nodes(reads: DataFrame, k: int) -> DataFrame:
     return _plain(reads).mapInArrow(scan, f"kmer {kind}, rc {kind}, mask int, n long").groupBy("kmer", "rc").agg(F.bit_or("mask").alias("mask"), F.sum("n").alias("n"))
 
 
+#: A mask as the other strand has it: its eight bits in reverse.
+_MIRROR = [int(f"{m:08b}"[::-1], 2) for m in range(256)]
+
+
+def nodes(reads: DataFrame, k: int) -> DataFrame:
+    """Every k-mer of both strands: (kmer, rc, mask, n).
+
+    ``mask`` has the letters seen before it (low four bits, A C G T) and after it,
+    ``n`` its occurrences. k-mers are codes up to k = 31 and text beyond.
+    """
+    rows = strand_nodes(reads, k)
+    return both_strands(rows) if k <= C.MAX_K else rows
+
+
+def both_strands(rows: DataFrame) -> DataFrame:
+    """Canonical rows (kmer, rc, mask, n) with those of the other strand; a k-mer that is its own counts twice."""
+    own = F.col("kmer") == F.col("rc")
+    other = F.struct(F.col("rc").alias("kmer"), F.col("kmer").alias("rc"), F.element_at(F.lit(_MIRROR), F.col("mask") + 1).cast("int").alias("mask"), F.col("n").alias("n"))
+    here = F.struct("kmer", "rc", "mask", F.when(own, 2 * F.col("n")).otherwise(F.col("n")).alias("n"))
+    return rows.select(F.explode(F.when(own, F.array(here)).otherwise(F.array(here, other))).alias("x")).select("x.*")
+
+
 def only_letter(low: int) -> Column:
     """The place in ACGT of the single letter of a mask's four bits from bit ``low`` on; null if there are none or several."""
     bits = F.shiftright(F.col("mask"), low).bitwiseAND(15)
@@ -174,9 +192,10 @@ def _text(k: int) -> Column:
 
 
 def _junctions(reads: DataFrame, k: int) -> DataFrame:
-    m = F.col("mask")
-    deg = nodes(reads, k).select("kmer", F.bit_count(m.bitwiseAND(15)).cast("long").alias("in_deg"), F.bit_count(m.bitwiseAND(240)).cast("long").alias("out_deg"))
-    return deg.filter("in_deg <> 1 OR out_deg <> 1")
+    degrees = [F.bit_count(F.col("mask").bitwiseAND(m)).cast("long") for m in (15, 240)]
+    rows = strand_nodes(reads, k).filter((degrees[0] != 1) | (degrees[1] != 1))  # alike on both strands
+    rows = both_strands(rows) if k <= C.MAX_K else rows
+    return rows.select("kmer", degrees[0].alias("in_deg"), degrees[1].alias("out_deg"))
 
 
 def junction_codes(reads: DataFrame, k: int) -> DataFrame:
