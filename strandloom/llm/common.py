@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -29,6 +29,24 @@ def hash_sample(df: DataFrame, key: str, bound: int) -> DataFrame:
     return df.filter(F.pmod(F.xxhash64(F.col(key)), F.lit(steps)) < int(share * steps))
 
 
+#: Rows, and bytes, of the batches that go between Spark and its Python workers, at most (a longer row is a batch of its own).
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches for this session, where the session has larger ones.
+
+    Spark's default of 10,000 rows holds tens to hundreds of MB of texts, on both sides
+    of each running task.
+    """
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        digits = spark.conf.get(key).rstrip("bB")
+        if not digits.isdigit() or not 0 < int(digits) <= most:
+            spark.conf.set(key, str(most))
+
+
 def project(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns; extra columns never reach an operator."""
+    """Only the named columns; extra columns never reach an operator. Texts then travel in ``bounded_batches``."""
+    bounded_batches(df.sparkSession)
     return df.select(*[F.col(f"`{n}`") for n in names])
