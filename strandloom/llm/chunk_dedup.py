@@ -125,7 +125,8 @@ def passages(docs: DataFrame, reach: int = REACH, min_bytes: int = MIN_BYTES) ->
     table = chunks(docs, reach)  # cut twice, for the counts and for the join, and not written: less disk
     repeated = table.groupBy("hi", "lo").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("__other")).filter("keeper < __other").drop("__other")
     placed = table.select("doc_id", (F.shiftleft("first", 32) + F.col("last") - F.col("first")).alias("place"), "hi", "lo")  # one number: less to shuffle
-    held = placed.join(repeated, ["hi", "lo"]).select("doc_id", "place", "keeper").distinct()
+    # dealt by document once: the distinct places and the runs need no exchange of their own
+    held = placed.join(repeated, ["hi", "lo"]).select("doc_id", "place", "keeper").repartition("doc_id").distinct()
     first = F.shiftright("place", 32)
     held = held.select("doc_id", first.alias("first"), (first + F.col("place").bitwiseAND((1 << 32) - 1)).alias("last"), "keeper")
     order = Window.partitionBy("doc_id").orderBy("first", "last")
