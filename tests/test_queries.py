@@ -7,7 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from strandloom.plans import more  # noqa: F401  registers its queries
+from strandloom.plans import chains, more  # noqa: F401  register their queries
 from strandloom.plans.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
