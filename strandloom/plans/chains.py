@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandloom.operators import kmers, matches, unique
-from strandloom.plans.queries import _CONTIGS, _JG, _LINKS, K, _km, contigs, lines, query, reads, table
+from strandloom.operators import matches, packed, unique
+from strandloom.plans import scratch
+from strandloom.plans.queries import _CONTIGS, _JG, _LINKS, K, _km, contigs, lines, query, table, texts
 
 _BULGED = """n AS (SELECT l_orderkey AS o, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag) AS i, l_quantity::BIGINT AS q, l_linenumber::BIGINT AS cov, l_returnflag = 'R' AS twice FROM lineitem),
 e AS (SELECT o, i, o || '-' || i AS src, o || '-' || (i + 1) AS dst, o || '-' || i || s AS eid, q + d AS len, cov FROM n, (VALUES ('a', 0), ('b', 5)) v(s, d) WHERE s = 'a' OR twice),
@@ -77,6 +78,7 @@ SELECT read_id, pos AS pos_from, pos + n AS pos_to, src, dst, 0::BIGINT AS edge_
 UNION ALL SELECT read_id, pos - n, pos, src, dst, size - n, size FROM (SELECT *, {_PRE.format('x', 'y')} AS n FROM b)""")
 def partial_matches(spark, d):
     """Stretches of the passages on edges of the documents' graph."""
-    r = reads(spark, d)
-    v = kmers.junction_codes(r, K)
-    return matches.partial_matches(contigs(spark, d), v, kmers.links(r, v, K), K)
+    r, c = texts(spark, d), contigs(spark, d)
+    v = packed.junctions(r, K)
+    near = packed.near(c, v)
+    return matches.partial_matches(c, v, scratch.cut(packed.edges(r, v, near), "edges"), K)
