@@ -108,7 +108,6 @@ def unitigs(reads: DataFrame, k: int) -> DataFrame:
     round a self-join cut by a written table. What still moves lies on cycles, which
     are cut at their smallest canonical k-mer.
     """
-    spark = reads.sparkSession
     nodes = scratch.cut(KM.nodes(reads, k), "nodes")
     letter = KM.only_letter(4)
     if k <= C.MAX_K:  # drop the first letter, add one
@@ -119,26 +118,9 @@ def unitigs(reads: DataFrame, k: int) -> DataFrame:
     one_in = nodes.filter(KM.only_letter(0).isNotNull()).select(F.col("kmer").alias("next"))
     # a hairpin's k-mer never continues into its own reverse complement
     link = scratch.cut(one_out.filter("next <> rc").join(one_in, "next", "left_semi").select("kmer", "next"), "links")
-    start = nodes.select("kmer", "n").join(link, "kmer", "left")
-    # rank from the end: jump pointers carry the number of steps
-    now, path = scratch.write(start.select("kmer", F.coalesce("next", "kmer").alias("to"), F.col("next").isNotNull().cast("long").alias("steps")), "jump")
-    moved = None
-    for _ in range(MAX_ROUNDS):
-        ahead = now.select(F.col("kmer").alias("to"), F.col("to").alias("to2"), F.col("steps").alias("more"))
-        after, new = scratch.write(now.join(ahead, "to").select("kmer", F.col("to2").alias("to"), (F.col("steps") + F.col("more")).alias("steps")), "jump")
-        ends = link.select("kmer").distinct()
-        left = after.join(ends.withColumnRenamed("kmer", "to"), "to", "left_semi").count()  # not at an end yet
-        scratch.drop(spark, path)
-        now, path = after, new
-        if left == 0 or left == moved:
-            break
-        moved = left
-    open_ends = link.select(F.col("kmer").alias("to"))
-    done = now.join(open_ends, "to", "left_anti")
-    chains = done.select("to", "kmer", "steps")
-    loops = now.join(open_ends, "to", "left_semi").select("kmer")
-    if moved:
-        chains = chains.unionByName(_cut_cycles(loops, link, nodes.select("kmer", F.least("kmer", "rc").alias("canon"))))
+    chains, loops = ranked(nodes.select("kmer"), link)
+    if loops is not None:
+        chains = chains.unionByName(cut_cycles(loops, link, nodes.select("kmer", F.least("kmer", "rc").alias("canon"))))
     text = chains.join(nodes.select("kmer", "n"), "kmer").groupBy("to").agg(
         F.sort_array(F.collect_list(F.struct((-F.col("steps")).alias("at"), "kmer"))).alias("path"), F.sum("n").alias("n")
     )
@@ -152,13 +134,33 @@ def unitigs(reads: DataFrame, k: int) -> DataFrame:
     return both.filter(S.is_canonical("unitig"))
 
 
-def _cut_cycles(loops: DataFrame, link: DataFrame, canon: DataFrame) -> DataFrame:
-    """Pure cycles as chains that start at their smallest canonical k-mer (kmer, canon): (to, kmer, steps)."""
+def ranked(nodes: DataFrame, link: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Nodes (kmer) on chains of links (kmer, next) that end, by their end and the steps to it: (to, kmer, steps); and those on cycles (kmer), if any."""
+    spark = nodes.sparkSession
+    # rank from the end: jump pointers carry the number of steps
+    now, path = scratch.write(nodes.join(link, "kmer", "left").select("kmer", F.coalesce("next", "kmer").alias("to"), F.col("next").isNotNull().cast("long").alias("steps")), "jump")
+    moved = None
+    open_ends = link.select(F.col("kmer").alias("to"))
+    for _ in range(MAX_ROUNDS):
+        ahead = now.select(F.col("kmer").alias("to"), F.col("to").alias("to2"), F.col("steps").alias("more"))
+        after, new = scratch.write(now.join(ahead, "to").select("kmer", F.col("to2").alias("to"), (F.col("steps") + F.col("more")).alias("steps")), "jump")
+        left = after.join(open_ends, "to", "left_semi").count()  # not at an end yet
+        scratch.drop(spark, path)
+        now, path = after, new
+        if left == 0 or left == moved:
+            break
+        moved = left
+    chains = now.join(open_ends, "to", "left_anti").select("to", "kmer", "steps")
+    return chains, now.join(open_ends, "to", "left_semi").select("kmer") if left else None
+
+
+def cut_cycles(loops: DataFrame, link: DataFrame, canon: DataFrame) -> DataFrame:
+    """Pure cycles as chains that start at their smallest canonical k-mer (kmer, canon), on the strand that has it: (to, kmer, steps)."""
     inner = link.join(loops, "kmer", "left_semi")
     comp = scratch.cut(connected_components(inner, a="kmer", b="next").select(F.col("vertex").alias("kmer"), "component"), "cycles")
-    least = comp.join(canon, "kmer").groupBy("component").agg(F.min(F.struct("canon", "kmer")).alias("m")).select("component", F.col("m.kmer").alias("first"))
-    cutlink = inner.join(comp, "kmer").join(least, "component").filter("next <> first").select("kmer", "next")
-    now = scratch.cut(inner.select("kmer").join(cutlink, "kmer", "left").select("kmer", F.coalesce("next", "kmer").alias("to"), F.col("next").isNotNull().cast("long").alias("steps")), "cycle-jump")
+    least = comp.join(canon, "kmer").groupBy("component").agg(F.min(F.struct("canon", "kmer")).alias("m")).filter("m.canon = m.kmer").select("component", F.col("m.kmer").alias("first"))
+    one = inner.join(comp, "kmer").join(least, "component")
+    now = scratch.cut(one.select("kmer", F.when(F.col("next") != F.col("first"), F.col("next")).alias("next")).select("kmer", F.coalesce("next", "kmer").alias("to"), F.col("next").isNotNull().cast("long").alias("steps")), "cycle-jump")
     for _ in range(MAX_ROUNDS):
         ahead = now.select(F.col("kmer").alias("to"), F.col("to").alias("to2"), F.col("steps").alias("more"))
         after = scratch.cut(now.join(ahead, "to").select("kmer", F.col("to2").alias("to"), (F.col("steps") + F.col("more")).alias("steps")), "cycle-jump")
