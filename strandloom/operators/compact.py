@@ -26,9 +26,12 @@ from pyspark.sql import functions as F
 from strandloom.functions import codes as C
 from strandloom.functions import seq as S
 from strandloom.operators import graph, packed
-from strandloom.operators.packed import MAX_K, RANGE, Junctions, Part, Texts
+from strandloom.operators.packed import MAX_K, RANGE, Part, Texts
 from strandloom.plans import scratch
 
+#: Keys that a task sorts at a time, as a power of two; beside them it holds the table.
+FLUSH = 21
+
 
 class Table:
     """Two bits for each place, sent deflated by ranges and held whole where they are read."""
@@ -40,11 +43,39 @@ class Table:
         return Table, (self.parts, self.size)
 
     def at(self, place: np.ndarray) -> np.ndarray:
-        if self._held is None:
+        if self._held is None:  # in a worker, so what was sent can go
             self._held = np.zeros(self.size // 4, np.uint8)
             for b, bits in self.parts:
                 self._held[b << (RANGE - 2) : (b + 1) << (RANGE - 2)] = np.frombuffer(zlib.decompress(bits), np.uint8)
-        return self._held[place >> 2] >> ((place & 3) << 1).astype(np.uint8) & 3
+            self.parts = []
+        shift = place.astype(np.uint8) & 3
+        return self._held[place >> 2] >> (shift << 1) & 3
+
+
+class Cuts:
+    """Some places: in order, or all places as bits."""
+
+    def __init__(self, places: np.ndarray, span: int):
+        self.dense = len(places) > span // 64
+        if self.dense:
+            self.places = np.zeros(span // 8, np.uint8)
+            np.bitwise_or.at(self.places, places >> 3, (1 << (places & 7)).astype(np.uint8))
+        else:
+            self.places = places.astype(np.int32)
+        self._some: np.ndarray | None = None
+
+    def at(self, place: np.ndarray) -> np.ndarray:
+        """Which of the places are among them."""
+        if self.dense:
+            return np.flatnonzero(self.places[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+        if not len(self.places):
+            return np.zeros(0, np.int64)
+        if self._some is None:  # by their last bits, so that few are looked up in order
+            self._some = np.zeros(1 << min(len(self.places).bit_length() + 7, 24), bool)
+            self._some[self.places & (len(self._some) - 1)] = True
+        x = np.flatnonzero(self._some[place & (len(self._some) - 1)])
+        y = place[x].astype(np.int32)
+        return x[self.places[np.minimum(np.searchsorted(self.places, y), len(self.places) - 1)] == y]
 
 
 @dataclass
@@ -53,7 +84,7 @@ class Ways:
 
     k: int
     ends: Broadcast
-    cuts: Junctions
+    cuts: Broadcast
 
 
 def ways(reads: DataFrame | Texts, k: int) -> Ways:
@@ -64,8 +95,10 @@ def ways(reads: DataFrame | Texts, k: int) -> Ways:
         for w in C.windows(data, off, k):
             own, place = packed._strand(w.code, w.rc, k)
             here, there = C.masks(w.prev, w.next)
-            first, last = w.prev == 4, w.next == 4
-            yield (place << 10 | np.where(own, last, first).astype(np.int64) << 9 | np.where(own, first, last).astype(np.int64) << 8 | np.where(own, here, there),)
+            x = place << 10 | np.where(own, here, there)
+            for at, begins in ((np.flatnonzero(w.prev == 4), own), (np.flatnonzero(w.next == 4), ~own)):
+                x[at] |= np.where(begins[at], 1 << 8, 1 << 9)
+            yield (x,)
 
     def whole(bucket: int, parts: Iterator[Part]) -> Iterator[pa.RecordBatch]:
         size, known, parts = packed._space(parts)
@@ -82,18 +115,12 @@ def ways(reads: DataFrame | Texts, k: int) -> Ways:
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "bits", "cuts"])
 
     spark = _spark(reads)
-    found = packed._collected(spark, lambda: packed._by_range(packed._scan(reads, windows, packed._pack_masks(2 * k - 1, 10)), whole, "bucket int, bits binary, cuts binary")).sort_by("bucket")
+    found = packed._collected(spark, lambda: packed._by_range(packed._scan(reads, windows, packed._pack_masks(2 * k - 1, 10), flush=FLUSH), whole, "bucket int, bits binary, cuts binary")).sort_by("bucket")
     buckets, span = found["bucket"].to_pylist(), max(1 << (2 * k - 1), 8)
     parts = list(zip(buckets, found["bits"].to_pylist(), strict=True))
     cuts = [(b << RANGE) + np.frombuffer(zlib.decompress(x.as_py()), "<u4").astype(np.int64) for b, x in zip(buckets, found["cuts"], strict=True)]
-    known = np.concatenate([np.zeros(0, np.int64), *cuts])
-    dense = len(known) > span // 64
-    if dense:
-        table = np.zeros(span // 8, np.uint8)
-        np.bitwise_or.at(table, known >> 3, (1 << (known & 7)).astype(np.uint8))
-        known = table
     send = spark.sparkContext.broadcast
-    return Ways(k, send(Table(parts, max(span, 1 << RANGE))), Junctions(k, dense, send(known)))
+    return Ways(k, send(Table(parts, max(span, 1 << RANGE))), send(Cuts(np.concatenate([np.zeros(0, np.int64), *cuts]), span)))
 
 
 def _spark(reads: DataFrame | Texts) -> SparkSession:
@@ -119,34 +146,40 @@ class Runs:
 
 def _runs(data: np.ndarray, off: np.ndarray, known: Ways) -> Iterator[Runs]:
     """The runs of all sequences; at most one more than the windows of a step are held."""
-    k, none = known.k, np.zeros(0, np.int64)
-    table, row, at, code, rc = known.ends.value, none, none, none, none
-    no_in = no_out = cut = none.astype(bool)
+    k, table, cuts = known.k, known.ends.value, known.cuts.value
+    kept: list[np.ndarray] = []  # of the last k-mer: row, place, codes, whether it has not one way in or out, or is a cut
     head: list[np.ndarray] = []  # of the run that is not over: a, first, cut, before
     for w in C.windows(data, off, k):
         if not len(w.code):
             continue
         own, place = packed._strand(w.code, w.rc, k)
         state = table.at(place)
-        maybe = np.flatnonzero(state != 3)
-        is_cut = np.zeros(len(place), bool)
-        is_cut[maybe[known.cuts.at(w.code[maybe], w.rc[maybe])]] = True
-        if not head:
-            head = [off[w.row[:1]] + w.pos[:1], w.code[:1], is_cut[:1], np.array([-1])]
         low, high = state & 1 > 0, state > 1
-        new = w.row, off[w.row] + w.pos, w.code, w.rc, np.where(own, low, high), np.where(own, high, low), is_cut
-        row, at, code, rc, no_in, no_out, cut = (np.concatenate(x) for x in zip((row, at, code, rc, no_in, no_out, cut), new, strict=True))
-        link = (row[1:] == row[:-1]) & (at[1:] == at[:-1] + 1) & ~no_out[:-1] & ~no_in[1:] & (code[1:] != rc[:-1])
-        parted = cut[1:] | cut[:-1]
-        i = np.flatnonzero(~link | parted)
-        linked = link[i]
-        begun = [np.concatenate(x) for x in zip(head, (at[i + 1], code[i + 1], cut[i + 1], np.where(linked, rc[i], -1)), strict=True)]
-        a, first, own_cut, before = (x[:-1] for x in begun)
-        yield Runs(a, at[i], first, rc[i], own_cut, np.where(linked, code[i + 1], -1), before)
+        cut = np.zeros(len(place), bool)
+        cut[cuts.at(place)] = True
+        new = [w.row, off[w.row] + w.pos, w.code, w.rc, np.where(own, low, high), np.where(own, high, low), cut]
+        if not kept:
+            head = [new[1][:1], new[2][:1], cut[:1], np.array([-1])]
+        row, at, code, rc, no_in, no_out, cut = [np.concatenate(x) for x in zip(kept, new, strict=True)] if kept else new
+        link = ~(no_out[:-1] | no_in[1:])
+        link &= at[1:] - at[:-1] == 1
+        link &= code[1:] != rc[:-1]
+        if k == 1:  # else the first place of a row is further on
+            link &= row[1:] == row[:-1]
+        over = ~link
+        x = np.flatnonzero(cut)
+        over[x[x > 0] - 1] = True
+        over[x[x < len(over)]] = True
+        i = np.flatnonzero(over)
+        linked = np.flatnonzero(link[i])
+        after, before = np.full(len(i), -1), np.full(len(i), -1)
+        after[linked], before[linked] = code[i[linked] + 1], rc[i[linked]]
+        begun = [np.concatenate(x) for x in zip(head, (at[i + 1], code[i + 1], cut[i + 1], before), strict=True)]
+        yield Runs(begun[0][:-1], at[i], begun[1][:-1], rc[i], begun[2][:-1], after, begun[3][:-1])
         head = [x[-1:] for x in begun]
-        row, at, code, rc, no_in, no_out, cut = (x[-1:] for x in (row, at, code, rc, no_in, no_out, cut))
+        kept = [x[-1:] for x in (row, at, code, rc, no_in, no_out, cut)]
     if head:
-        yield Runs(head[0], at, head[1], rc, head[2], np.array([-1]), head[3])
+        yield Runs(head[0], kept[1], head[1], kept[3], head[2], np.array([-1]), head[3])
 
 
 def _closed(reads: DataFrame | Texts, known: Ways) -> DataFrame:
@@ -191,7 +224,7 @@ def _closed(reads: DataFrame | Texts, known: Ways) -> DataFrame:
                 ends = np.cumsum(size[at] + k - 1)
                 yield _batch(C.cut(spelt, ends - size[at] - k + 1, ends), sizes[x], n[x])
 
-    return packed._by_range(packed._scan(reads, windows, packed._pack_texts(2 * k)), whole, "unitig string, kmers long, n long")
+    return packed._by_range(packed._scan(reads, windows, packed._pack_texts(2 * k), flush=FLUSH), whole, "unitig string, kmers long, n long")
 
 
 def _batch(unitig: pa.Array, kmers: np.ndarray, passes: np.ndarray) -> pa.RecordBatch:

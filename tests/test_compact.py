@@ -112,7 +112,7 @@ def test_small_steps(spark, monkeypatch):
 def test_many_cuts_are_sent_as_bits(spark):
     seqs = some_reads(7, 4000, 600)[1]
     df = make(spark, seqs)
-    assert compact.ways(df, K).cuts.dense
+    assert compact.ways(df, K).cuts.value.dense
     assert rows(compact.unitigs(df, K)) == walked(seqs, K)
 
 
