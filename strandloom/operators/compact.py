@@ -29,8 +29,8 @@ from strandloom.operators import graph, packed
 from strandloom.operators.packed import MAX_K, RANGE, Part, Texts
 from strandloom.plans import scratch
 
-#: Keys that a task sorts at a time, as a power of two; beside them it holds the table.
-FLUSH = 21
+#: Keys that a task sorts at a time, as a power of two, beside the table that it holds; letters of a slice, so that its arrays stay in a core's cache.
+FLUSH, SLICE = 21, 1 << 16
 
 
 class Table:
@@ -115,7 +115,7 @@ def ways(reads: DataFrame | Texts, k: int) -> Ways:
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "bits", "cuts"])
 
     spark = _spark(reads)
-    found = packed._collected(spark, lambda: packed._by_range(packed._scan(reads, windows, packed._pack_masks(2 * k - 1, 10), flush=FLUSH), whole, "bucket int, bits binary, cuts binary")).sort_by("bucket")
+    found = packed._collected(spark, lambda: packed._by_range(packed._scan(reads, windows, packed._pack_masks(2 * k - 1, 10), flush=FLUSH, limit=SLICE), whole, "bucket int, bits binary, cuts binary")).sort_by("bucket")
     buckets, span = found["bucket"].to_pylist(), max(1 << (2 * k - 1), 8)
     parts = list(zip(buckets, found["bits"].to_pylist(), strict=True))
     cuts = [(b << RANGE) + np.frombuffer(zlib.decompress(x.as_py()), "<u4").astype(np.int64) for b, x in zip(buckets, found["cuts"], strict=True)]
@@ -224,7 +224,7 @@ def _closed(reads: DataFrame | Texts, known: Ways) -> DataFrame:
                 ends = np.cumsum(size[at] + k - 1)
                 yield _batch(C.cut(spelt, ends - size[at] - k + 1, ends), sizes[x], n[x])
 
-    return packed._by_range(packed._scan(reads, windows, packed._pack_texts(2 * k), flush=FLUSH), whole, "unitig string, kmers long, n long")
+    return packed._by_range(packed._scan(reads, windows, packed._pack_texts(2 * k), flush=FLUSH, limit=SLICE), whole, "unitig string, kmers long, n long")
 
 
 def _batch(unitig: pa.Array, kmers: np.ndarray, passes: np.ndarray) -> pa.RecordBatch:
@@ -237,7 +237,8 @@ def _open(reads: DataFrame | Texts, known: Ways) -> DataFrame:
     ``kmer`` and ``other`` are the codes with which the two strands begin, ``next`` and
     ``back`` those that follow on them, -1 for none; ``n`` sums the k-mers of all passes.
     """
-    frame, slices = packed._source(reads)
+    k = known.k
+    frame, slices = packed._source(reads, SLICE)
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -249,13 +250,16 @@ def _open(reads: DataFrame | Texts, known: Ways) -> DataFrame:
                     continue
                 both = np.concatenate([data, C._COMPLEMENT[data][::-1]]) if both is None else both
                 a, b, first, last, after, before = (y[x] for y in (r.a, r.b, r.first, r.last, r.after, r.before))
-                own, size = first < last, b - a + known.k
-                start = np.where(own, a, 2 * len(data) - a - size)
-                cols = np.minimum(first, last), np.maximum(first, last), np.where(own, after, before), np.where(own, before, after)
-                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), C.cut(both, start, start + size), pa.array(b - a + 1)], names=["kmer", "other", "next", "back", "body", "kmers"])
-
-    rows = frame.mapInArrow(scan, "kmer long, other long, next long, back long, body string, kmers long")
-    return rows.groupBy("kmer").agg(*[F.max(x).alias(x) for x in ("other", "next", "back", "body")], F.max("kmers").alias("kmers"), F.sum("kmers").alias("n"))
+                own = first < last
+                ends = np.stack([np.minimum(first, last), np.maximum(first, last), np.where(own, after, before), np.where(own, before, after)])
+                _, x, n = np.unique(ends, axis=1, return_index=True, return_counts=True)
+                size = b[x] - a[x] + k
+                start = np.where(own[x], a[x], 2 * len(data) - a[x] - size)
+                kmers = size - k + 1
+                yield pa.RecordBatch.from_arrays([*map(pa.array, ends[:, x]), C.cut(both, start, start + size), pa.array(kmers), pa.array(n * kmers)], names=["kmer", "other", "next", "back", "body", "kmers", "n"])
+
+    rows = frame.mapInArrow(scan, "kmer long, other long, next long, back long, body string, kmers long, n long")
+    return rows.groupBy("kmer").agg(*[F.max(x).alias(x) for x in ("other", "next", "back", "body", "kmers")], F.sum("n").alias("n"))
 
 
 def _turned(k: int):
