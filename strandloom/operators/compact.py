@@ -31,6 +31,7 @@ from strandloom.plans import scratch
 
 #: Keys that a task sorts at a time, as a power of two, beside the table that it holds; letters of a slice, so that its arrays stay in a core's cache.
 FLUSH, SLICE = 21, 1 << 16
+_OPEN = "kmer long, other long, next long, back long, body string, kmers long, n long"
 
 
 class Table:
@@ -182,19 +183,76 @@ def _runs(data: np.ndarray, off: np.ndarray, known: Ways) -> Iterator[Runs]:
         yield Runs(head[0], kept[1], head[1], kept[3], head[2], np.array([-1]), head[3])
 
 
-def _closed(reads: DataFrame | Texts, known: Ways) -> DataFrame:
-    """The runs that are linked to no cut and none themselves."""
+def _found(r: Runs, x: np.ndarray, both: np.ndarray, k: int) -> pa.RecordBatch:
+    """Some runs as rows of ``_OPEN``, each once with the sum of its k-mers; ``both``: letters of both strands."""
+    a, b, first, last, after, before = (y[x] for y in (r.a, r.b, r.first, r.last, r.after, r.before))
+    own = first < last
+    ends = np.stack([np.minimum(first, last), np.maximum(first, last), np.where(own, after, before), np.where(own, before, after)])
+    _, x, n = np.unique(ends, axis=1, return_index=True, return_counts=True)
+    size = b[x] - a[x] + k
+    start = np.where(own[x], a[x], len(both) - a[x] - size)
+    kmers = size - k + 1
+    return pa.RecordBatch.from_arrays([*map(pa.array, ends[:, x]), C.cut(both, start, start + size), pa.array(kmers), pa.array(n * kmers)], names=[x.split()[0] for x in _OPEN.split(", ")])
+
+
+def _sent(found: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """Open runs as one packed row, of kind -1, in the bucket of the first."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, found[0].schema) as out:
+        for batch in found:
+            out.write_batch(batch)
+    row = found[0].column(0)[0].as_py() >> RANGE, -1, len(found), sink.getvalue().to_pybytes(), b"", b"", b"", b""
+    found.clear()
+    return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, [pa.int32()] * 3 + [pa.binary()] * 5, strict=True)], names=packed._NAMES)
+
+
+def _scanned(reads: DataFrame | Texts, known: Ways) -> DataFrame:
+    """All runs as packed rows."""
     k = known.k
+    frame, slices = packed._source(reads, SLICE)
+    pack = packed._pack_texts(2 * k)
 
-    def windows(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-        both = np.concatenate([data, C._COMPLEMENT[data][::-1]])
-        for r in _runs(data, off, known):
-            x = np.flatnonzero(~r.open())
-            a, b, first, last = r.a[x], r.b[x], r.first[x], r.last[x]
-            size = b - a + 1
-            long = np.flatnonzero(size > 1)
-            start = np.where(first < last, a + k - 1, 2 * len(data) - b - 1)  # last letters of the k-mers
-            yield np.minimum(first, last), size.astype(np.int32), packed._ragged(both, start[long], size[long])
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, found, n, letters = [], [], 0, 0
+        for part in slices(batches):
+            data, off = C.buffers(part.column("seq"))
+            both = np.concatenate([data, C._COMPLEMENT[data][::-1]])
+            for r in _runs(data, off, known):
+                opened = r.open()
+                x = np.flatnonzero(~opened)
+                a, b, first, last = r.a[x], r.b[x], r.first[x], r.last[x]
+                size = b - a + 1
+                long = np.flatnonzero(size > 1)
+                start = np.where(first < last, a + k - 1, 2 * len(data) - b - 1)  # last letters of the k-mers
+                held.append((np.minimum(first, last), size.astype(np.int32), packed._ragged(both, start[long], size[long])))
+                n, letters = n + len(x), letters + len(held[-1][2])
+                x = np.flatnonzero(opened)
+                if len(x):
+                    found.append(_found(r, x, both, k))
+                    letters += int((r.b[x] - r.a[x] + k).sum())
+                if n + C.STEP > 1 << FLUSH or letters > 4 << FLUSH:
+                    if n:
+                        yield pack(held)
+                    if found:
+                        yield _sent(found)
+                    held, n, letters = [], 0, 0
+        if n:
+            yield pack(held)
+        if found:
+            yield _sent(found)
+
+    return frame.mapInArrow(scan, packed._ROW)
+
+
+def _dealt_once(rows: DataFrame) -> DataFrame:
+    """The rows by bucket, shuffled here and now, so that several jobs read the same shuffle; what is lost is made again."""
+    plan = rows.repartition("bucket")._jdf
+    spark = rows.sparkSession
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.queryExecution().toRdd(), plan.schema(), False), spark)
+
+
+def _closed(rows: DataFrame, k: int) -> DataFrame:
+    """The unitigs that are one run, linked to no cut and none itself."""
 
     def whole(bucket: int, parts: Iterator[Part]) -> Iterator[pa.RecordBatch]:
         cells, held, parts = packed._space(parts)
@@ -224,42 +282,27 @@ def _closed(reads: DataFrame | Texts, known: Ways) -> DataFrame:
                 ends = np.cumsum(size[at] + k - 1)
                 yield _batch(C.cut(spelt, ends - size[at] - k + 1, ends), sizes[x], n[x])
 
-    return packed._by_range(packed._scan(reads, windows, packed._pack_texts(2 * k), flush=FLUSH, limit=SLICE), whole, "unitig string, kmers long, n long")
+    return packed._ranged(rows.filter("kind >= 0"), whole, "unitig string, kmers long, n long")
 
 
 def _batch(unitig: pa.Array, kmers: np.ndarray, passes: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([unitig, pa.array(kmers.astype(np.int64)), pa.array(kmers * passes)], names=["unitig", "kmers", "n"])
 
 
-def _open(reads: DataFrame | Texts, known: Ways) -> DataFrame:
-    """Cuts and the runs linked to them, on the strand that is smaller: (kmer, other, next, back, body, kmers, n).
+def _open(rows: DataFrame) -> DataFrame:
+    """Cuts and the runs linked to them, on the strand that is smaller, as ``_OPEN``.
 
     ``kmer`` and ``other`` are the codes with which the two strands begin, ``next`` and
     ``back`` those that follow on them, -1 for none; ``n`` sums the k-mers of all passes.
     """
-    k = known.k
-    frame, slices = packed._source(reads, SLICE)
 
-    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            data, off = C.buffers(part.column("seq"))
-            both = None
-            for r in _runs(data, off, known):
-                x = np.flatnonzero(r.open())
-                if not len(x):
-                    continue
-                both = np.concatenate([data, C._COMPLEMENT[data][::-1]]) if both is None else both
-                a, b, first, last, after, before = (y[x] for y in (r.a, r.b, r.first, r.last, r.after, r.before))
-                own = first < last
-                ends = np.stack([np.minimum(first, last), np.maximum(first, last), np.where(own, after, before), np.where(own, before, after)])
-                _, x, n = np.unique(ends, axis=1, return_index=True, return_counts=True)
-                size = b[x] - a[x] + k
-                start = np.where(own[x], a[x], 2 * len(data) - a[x] - size)
-                kmers = size - k + 1
-                yield pa.RecordBatch.from_arrays([*map(pa.array, ends[:, x]), C.cut(both, start, start + size), pa.array(kmers), pa.array(n * kmers)], names=["kmer", "other", "next", "back", "body", "kmers", "n"])
-
-    rows = frame.mapInArrow(scan, "kmer long, other long, next long, back long, body string, kmers long, n long")
-    return rows.groupBy("kmer").agg(*[F.max(x).alias(x) for x in ("other", "next", "back", "body", "kmers")], F.sum("n").alias("n"))
+    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column("low"):
+                yield from pa.ipc.open_stream(x.as_buffer())
+
+    found = rows.filter("kind < 0").select("low").mapInArrow(read, _OPEN)
+    return found.groupBy("kmer").agg(*[F.max(x).alias(x) for x in ("other", "next", "back", "body", "kmers")], F.sum("n").alias("n"))
 
 
 def _turned(k: int):
@@ -304,6 +347,5 @@ def _joined(runs: DataFrame, k: int) -> DataFrame:
 
 def unitigs(reads: DataFrame | Texts, k: int) -> DataFrame:
     """As ``graph.unitigs``, for odd k up to ``MAX_K``: (unitig, kmers, n)."""
-    known = ways(reads, k)
-    runs = scratch.cut(_open(reads, known), "open")
-    return _closed(reads, known).unionByName(_joined(runs, k))
+    rows = _dealt_once(_scanned(reads, ways(reads, k)))
+    return _closed(rows, k).unionByName(_joined(scratch.cut(_open(rows), "open"), k))
