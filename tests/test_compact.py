@@ -128,3 +128,16 @@ def test_query_has_no_row_for_each_kmer(spark, tmp_path, monkeypatch):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     monkeypatch.setattr(kmers, "nodes", None)
     assert QUERIES["unitigs"](spark, str(tmp_path)).count() > 0
+
+
+def test_a_circle_comes_on_one_strand(spark):
+    """Also where the other strand's spelling is smaller than its own reverse complement."""
+    rng, k = random.Random(3), 11
+    while True:
+        circle = "".join(rng.choice("ACGT") for _ in range(40)) * 2
+        at = min(range(40), key=lambda i: min(circle[i : i + k], rc(circle[i : i + k])))
+        if circle[at : at + k] < rc(circle[at : at + k]) < circle[at + 1 : at + 1 + k]:
+            break
+    seqs = [circle[i : i + 25] for i in range(0, 40, 4)]
+    df = spark.createDataFrame(list(enumerate(seqs)), "read_id long, seq string")
+    assert graph.unitigs(df, k).count() == 1 and rows(graph.unitigs(df, k)) == rows(compact.unitigs(df, k)) == walked(seqs, k)
